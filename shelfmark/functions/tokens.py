@@ -46,7 +46,7 @@ def tokenize_words(text: Column) -> Column:
 def tokenize_list(text: Column) -> Column:
     """Items of a list written with ``, / | : ;``, lower-cased and trimmed."""
     items = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[,/|:;]"), lambda t: t != "")
-    return F.transform(items, F.trim)
+    return F.transform(items, lambda t: F.trim(t))
 
 
 def clean_apostrophes(text: Column) -> Column:
