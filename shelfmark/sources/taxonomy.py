@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from shelfmark.functions.paths import SEPARATOR
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of each line after the header, lower-cased."""
-    raw = spark.read.option("header", True).option("sep", "\n").schema("line string").csv(path)
-    return raw.select(F.split(F.lower("line"), ";").alias("fields"))
+NO_SEPARATOR = "\u0001"  # never in a line, so each line is one field
+
+
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """``;``-separated fields of each line after the header, lower-cased."""
+    options = {"header": True, "sep": NO_SEPARATOR, "quote": ""}
+    lines = spark.read.options(**options).schema("line string").csv(path)
+    return lines.select(F.split(F.rtrim(F.lower("line"), F.lit(";")), ";").alias("f"))
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """``id;level1;level2;...`` lines to ``(id, path, depth)``."""
-    fields = F.filter(F.col("fields"), lambda f: f != "")
-    named = _lines(spark, path).select(fields.alias("f"))
-    return named.select(
+    return _fields(spark, path).select(
         F.element_at("f", 1).cast("int").alias("id"),
         F.array_join(F.slice("f", 2, F.size("f")), SEPARATOR).alias("path"),
         (F.size("f") - 1).alias("depth"),
@@ -34,7 +36,5 @@ def deep_pairs(df: DataFrame) -> DataFrame:
 
 def read_category_mapping(spark: SparkSession, path: str) -> DataFrame:
     """``source>path;target > path`` lines to a mapping table."""
-    fields = _lines(spark, path)
-    return deep_pairs(
-        fields.select(F.get("fields", 0).alias("source_path"), F.get("fields", 1).alias("target_path"))
-    )
+    pairs = _fields(spark, path).select(F.get("f", 0).alias("source_path"), F.get("f", 1).alias("target_path"))
+    return deep_pairs(pairs)
