@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,15 @@ SEPARATOR = " > "
 MAX_DEPTH = 7
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used inside a higher-order function is recomputed for every element;
+    bound as the only element of an array it is a plain variable there.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def path_levels(path: Column, depth: int = MAX_DEPTH) -> list[Column]:
     """Columns ``cat1..catN``; levels the path does not have are NULL."""
     parts = F.split(path, SEPARATOR)
@@ -32,14 +41,13 @@ def path_depth(path: Column) -> Column:
 
 def path_prefixes(path: Column, separator: str = SEPARATOR) -> Column:
     """All prefixes of a path, shortest first, as ``array<struct<depth, prefix>>``."""
-    parts = F.split(path, separator)
-    return F.transform(
+    return let(F.split(path, separator), lambda parts: F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda d: F.struct(
             d.alias("depth"),
             F.array_join(F.slice(parts, 1, d), separator).alias("prefix"),
         ),
-    )
+    ))
 
 
 def path_prefix(path: Column, depth: int | Column) -> Column:

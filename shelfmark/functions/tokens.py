@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfmark.functions.measures import keeps_its_digits, measurement
+from shelfmark.functions.paths import let
 
 # Token alphabet and the shapes of tokens that are thrown away.
 TOKEN_PATTERN = r"""[a-zA-Z0-9$%@\x{80}¢£¥°º½¾`.\-*×±µ"',/]{3,30}"""
@@ -94,20 +95,16 @@ def normalize_tokens(tokens: Column, emit: str = "published") -> Column:
     lines = F.array_join(F.coalesce(tokens, F.array().cast("array<string>")), "\n")
     split = split_punctuation(collapse(clean_apostrophes(lines), '"'))
     split = split_camel(F.translate(split, " ", "\n"), "\n")
-    clean = F.lower(clean_edges(split))
-    kept = F.filter(F.split(clean, "\n"), keep_token)
+    kept = F.filter(F.split(F.lower(clean_edges(split)), "\n"), keep_token)
     if emit == "published":
-        doubled = F.transform(
-            kept, lambda t: F.when(keeps_its_digits(t), F.array(t, t)).otherwise(F.array(t))
-        )
+        extra = lambda t: F.when(keeps_its_digits(t), F.array(t, t)).otherwise(F.array(t))
     elif emit == "placeholder":
-        doubled = F.transform(
-            kept,
-            lambda t: F.when(measurement(t).startswith("<"), F.array(t, measurement(t))).otherwise(F.array(t)),
-        )
+        extra = lambda t: let(measurement(t), lambda m: F.when(
+            m.startswith("<"), F.array(t, m)).otherwise(F.array(t)))
     else:
         raise ValueError("emit must be 'published' or 'placeholder'")
-    return F.when(clean.rlike("[0-9]"), F.flatten(doubled)).otherwise(kept)
+    with_digits = lambda k: F.exists(k, lambda t: t.rlike("[0-9]"))
+    return let(kept, lambda k: F.when(with_digits(k), F.flatten(F.transform(k, extra))).otherwise(k))
 
 
 def product_tokens(text: Column, emit: str = "published") -> Column:
@@ -121,8 +118,18 @@ def drop_noise_tokens(tokens: Column) -> Column:
 
 def sorted_ngrams(tokens: Column, n: int = 2) -> Column:
     """Windows of ``n`` tokens with the words of each window in order."""
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.array_sort(F.slice(tokens, i, n)), " "),
-    )
-    return F.when(F.size(tokens) >= n, windows).otherwise(F.array().cast("array<string>"))
+    if n == 2:
+        def pairs(t: Column) -> Column:
+            first, second = F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1)
+            return F.zip_with(first, second, lambda x, y: F.concat_ws(" ", F.least(x, y), F.greatest(x, y)))
+
+        windows = pairs
+    else:
+        def windows(t: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.size(t) - (n - 1)),
+                lambda i: F.array_join(F.array_sort(F.slice(t, i, n)), " "),
+            )
+
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, windows(t)).otherwise(none))

@@ -1,5 +1,5 @@
 """Every operator bound to the test tables, each with independent SQL where SQL can say it."""
 
-from workload import catalogue, fields, samples, scans
+from workload import catalogue, fields, samples, scans, words
 
-MODULES = (scans, fields, catalogue, samples)
+MODULES = (scans, fields, catalogue, samples, words)

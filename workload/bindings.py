@@ -61,10 +61,11 @@ def ragged(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-RAGGED = GEO + """, ragged AS (
+RAGGED_ONLY = """ragged AS (
   SELECT id, name, balance, cat1, CASE WHEN balance >= 0 THEN cat2 ELSE '' END AS cat2,
          CASE WHEN balance >= 3000 THEN cat3 WHEN balance >= 0 THEN '' END AS cat3
   FROM geo)"""
+RAGGED = f"{GEO}, {RAGGED_ONLY}"
 
 # a label path from cat1..cat3, trailing empty levels removed
 LABEL = r"regexp_replace(concat_ws(' > ', cat1, cat2, cat3), '(?: > )* > \z', '')"

@@ -9,7 +9,7 @@ from shelfmark.operators.attributes import preprocess
 from shelfmark.operators.mapping import map_categories, mapping_sets
 from shelfmark.sources.tables import union_all
 from workload.bindings import (
-    DOCS, GEO, LABEL, PARTS, RAGGED, TAXONOMY, docs, geo, geo_taxonomy, parts, prefixes_sql, ragged, table,
+    DOCS, GEO, LABEL, PARTS, RAGGED, RAGGED_ONLY, TAXONOMY, docs, geo, geo_taxonomy, parts, prefixes_sql, ragged, table,
 )
 from workload.registry import query
 from workload.scans import COUNTS, MAPPING, TRAINING, TRAINING_COLUMNS, _roots, _training_raw, part_mapping
@@ -39,12 +39,11 @@ def category_rollup_parts(spark, sf):
 
 @query(
     "taxonomy_node_counts",
-    f"""WITH {TAXONOMY}, rows_ AS (SELECT * FROM geo WHERE balance > 5000), {prefixes_sql('rows_', 'category')}
+    f"""WITH {TAXONOMY}, {RAGGED_ONLY}, rows_ AS (SELECT {LABEL} AS category FROM ragged), {prefixes_sql('rows_', 'category')}
     SELECT id, path, t.depth, count(p.prefix) AS count FROM taxonomy t LEFT JOIN prefixes p ON p.prefix = t.path GROUP BY ALL""",
 )
 def taxonomy_node_counts(spark, sf):
-    rows = geo(spark, sf).where("balance > 5000")
-    counts = C.category_counts(C.label_counts(rows, LEVELS), 3)
+    counts = C.category_counts(C.label_counts(ragged(spark, sf), LEVELS), 3)
     return C.taxonomy_counts(counts, geo_taxonomy(spark, sf))
 
 
@@ -178,12 +177,12 @@ def categories_mapped(spark, sf):
 
 @query(
     "mapping_target_sets",
-    """WITH pairs AS (SELECT DISTINCT p_type || '''s, parts' AS s, replace(p_brand, '#', ',') AS t FROM part WHERE p_size > 20)
+    """WITH pairs AS (SELECT DISTINCT p_type || '''s, parts' AS s, replace(p_brand, '#', ',') AS t FROM part)
     SELECT replace(replace(s, ',', ''), '''', '') AS source_path, string_agg(replace(t, ',', ''), '|' ORDER BY replace(t, ',', '')) AS targets
     FROM pairs GROUP BY 1""",
 )
 def mapping_target_sets(spark, sf):
-    pairs = table(spark, sf, "part").where("p_size > 20").select(
+    pairs = table(spark, sf, "part").select(
         F.concat("p_type", F.lit("'s, parts")).alias("source_path"),
         F.replace("p_brand", F.lit("#"), F.lit(",")).alias("target_path"),
     )
