@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions.paths import let
+
 # Number formats that count as a measurement or dimension; group 1 is the unit.
 _NUMBER = r"[0-9]+(?:\.?[0-9]+)?"
 SINGLE = rf"""\A{_NUMBER}([°º]?[a-zA-Z]{{0,9}}(?:/[a-zA-Z])?|'|"[a-zA-Z]{{0,9}}|%)\z"""
@@ -46,8 +48,8 @@ def _unit_name(unit: Column, names: dict[str, str]) -> Column:
 
 def _placeholder(token: Column, prefix: Column, suffix: Column, pattern: str, names: dict) -> Column:
     number = F.when(token.contains("."), "float").otherwise("int")
-    unit = F.lower(F.regexp_extract(token, pattern, 1))
-    return F.concat(F.lit("<"), prefix, number, suffix, F.lit("_"), _unit_name(unit, names), F.lit(">"))
+    unit = let(F.lower(F.regexp_extract(token, pattern, 1)), lambda u: _unit_name(u, names))
+    return F.concat(F.lit("<"), prefix, number, suffix, F.lit("_"), unit, F.lit(">"))
 
 
 def _times(token: Column, sign: str) -> Column:

@@ -17,12 +17,12 @@ from shelfmark.functions.paths import let
 # Token alphabet and the shapes of tokens that are thrown away.
 TOKEN_PATTERN = r"""[a-zA-Z0-9$%@\x{80}¢£¥°º½¾`.\-*×±µ"',/]{3,30}"""
 REJECTED = (
-    "[a-z]{2,}[0-9]",
-    "[aeiou]{5,}",
-    "[bcdfghjklmnpqrstvwxyz]{5,}",
-    "[0-9]{6,}",
-    "[0-9]+[a-z]+[0-9]+",
-    "[a-z]+[0-9]+[a-z]+",
+    "[a-z]{2}[0-9]",
+    "[aeiou]{5}",
+    "[bcdfghjklmnpqrstvwxyz]{5}",
+    "[0-9]{6}",
+    "[0-9][a-z]+[0-9]",
+    "[a-z][0-9]+[a-z]",
 )
 NOISE = (
     "[aeiou]{5,}",
@@ -56,29 +56,34 @@ def clean_apostrophes(text: Column) -> Column:
     return F.regexp_replace(marks, "'(?:(t)|s|d|ll|re|m|ve)", "$1")
 
 
-def collapse(text: Column, mark: str) -> Column:
-    """Squeeze repeats of one punctuation mark."""
-    return F.regexp_replace(text, rf"\{mark}{{2,}}", mark)
+def collapse(text: Column, marks: str) -> Column:
+    """Squeeze repeats of any of the given punctuation marks."""
+    return F.regexp_replace(text, rf"([{marks}])\1+", "$1")
+
+
+# The rules below name the rare punctuation mark first, so that most positions fail
+# on one character test. Each rule takes the character after the mark; ``(?!\G)`` keeps
+# a mark from using the character that the match before it has taken.
 
 
 def split_punctuation(text: Column) -> Column:
     """Put a space where hyphens, stops, commas and slashes join separate words."""
-    out = F.regexp_replace(collapse(text, "-"), "([a-zA-Z])-([a-zA-Z])", "$1 $2")
-    out = collapse(collapse(out, ","), ".")
-    out = F.regexp_replace(out, r"(.)[.,*]+([^0-9\-\s])", "$1 $2")
-    out = F.regexp_replace(out, r"([^0-9\-\n])[.,]+(.)", "$1 $2")
-    return F.regexp_replace(out, "(.)/(..)", "$1 $2")
+    out = F.regexp_replace(collapse(text, r"\-,."), r"(?!\G)-(?<=[a-zA-Z]-)([a-zA-Z])", " $1")
+    out = F.regexp_replace(out, r"(?!\G)[.,*](?<=.[.,*])[.,*]*([^0-9\-\s])", " $1")
+    out = F.regexp_replace(out, r"(?!\G)[.,](?<=[^0-9\-\n][.,])[.,]*(.)", " $1")
+    return F.regexp_replace(out, r"(?!\G)/(?<=./)(..)", " $1")
 
 
 def split_camel(text: Column, gap: str = " ") -> Column:
-    return F.regexp_replace(text, "([a-z]{2})([A-Z][a-z])", f"$1{gap}$2")
+    """Put a gap before a capitalised word that follows two small letters."""
+    return F.regexp_replace(text, r"[A-Z](?<=[a-z]{2}[A-Z])(?<!\G[a-z][A-Z])[a-z]", f"{gap}$0")
 
 
 def clean_edges(text: Column) -> Column:
     """Strip punctuation from both ends of every line."""
-    out = F.regexp_replace(text, r"(?m)^[,\-*:/]+|(?:\.+[,\-*:/]*|[,\-*:/]+)$", "")
-    out = F.regexp_replace(out, r"""(?m)^['"]*\.(?=[^0-9\n])|^['"]+""", "")
-    return F.regexp_replace(out, r"""(?m)([^0-9\n])['"]+$""", "$1")
+    out = F.regexp_replace(text, r"(?m)(?=[,\-*:/.])(?:^[,\-*:/]+|(?:\.+[,\-*:/]*|[,\-*:/]+)$)", "")
+    out = F.regexp_replace(out, r"""(?m)(?=['".])(?:^['"]*\.(?=[^0-9\n])|^['"]+)""", "")
+    return F.regexp_replace(out, r"""(?m)['"](?<=[^0-9\n]['"])['"]*$""", "")
 
 
 def keep_token(token: Column) -> Column:
@@ -94,8 +99,7 @@ def normalize_tokens(tokens: Column, emit: str = "published") -> Column:
     """
     lines = F.array_join(F.coalesce(tokens, F.array().cast("array<string>")), "\n")
     split = split_punctuation(collapse(clean_apostrophes(lines), '"'))
-    split = split_camel(F.translate(split, " ", "\n"), "\n")
-    kept = F.filter(F.split(F.lower(clean_edges(split)), "\n"), keep_token)
+    clean = F.lower(clean_edges(split_camel(F.translate(split, " ", "\n"), "\n")))
     if emit == "published":
         extra = lambda t: F.when(keeps_its_digits(t), F.array(t, t)).otherwise(F.array(t))
     elif emit == "placeholder":
@@ -103,8 +107,12 @@ def normalize_tokens(tokens: Column, emit: str = "published") -> Column:
             m.startswith("<"), F.array(t, m)).otherwise(F.array(t)))
     else:
         raise ValueError("emit must be 'published' or 'placeholder'")
-    with_digits = lambda k: F.exists(k, lambda t: t.rlike("[0-9]"))
-    return let(kept, lambda k: F.when(with_digits(k), F.flatten(F.transform(k, extra))).otherwise(k))
+
+    def finish(line: Column) -> Column:
+        kept = F.filter(F.split(line, "\n"), keep_token)
+        return F.when(line.rlike("[0-9]"), F.flatten(F.transform(kept, extra))).otherwise(kept)
+
+    return let(clean, finish)
 
 
 def product_tokens(text: Column, emit: str = "published") -> Column:

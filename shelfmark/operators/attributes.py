@@ -48,13 +48,14 @@ def standardise(df: DataFrame) -> DataFrame:
 
 def parse_attributes(df: DataFrame, attributes: str = "attributes") -> DataFrame:
     """Replace the attribute JSON by one column per field, NULL categoricals filled."""
-    doc = F.from_json(clean_json(F.col(attributes)), ATTRIBUTES)
     others = [c for c in df.columns if c != attributes]
+    # one parse per row: Spark does not copy a parse into several uses of its result
+    doc = df.select(*others, F.from_json(clean_json(F.col(attributes)), ATTRIBUTES).alias("__doc"))
     fields = [
-        doc[group][field].alias(field) for group, (_, names) in GROUPS.items() for field in names
+        F.col(f"__doc.{group}.{field}").alias(field) for group, (_, names) in GROUPS.items() for field in names
     ]
-    category = F.lower(doc["taxonomy"]["filterCategory"]).alias("filterCategory")
-    return fill_missing(df.select(*others, *fields, category), CATEGORICAL, "null")
+    category = F.lower("__doc.taxonomy.filterCategory").alias("filterCategory")
+    return fill_missing(doc.select(*others, *fields, category), CATEGORICAL, "null")
 
 
 def expand_groups(df: DataFrame) -> DataFrame:
@@ -64,12 +65,11 @@ def expand_groups(df: DataFrame) -> DataFrame:
     step reads.
     """
     present = {g: spec for g, spec in GROUPS.items() if g in df.columns}
-    fields = [
-        F.from_json(clean_json(F.col(group)), schema)[field].alias(field)
-        for group, (schema, names) in present.items()
-        for field in names
-    ]
-    wide = df.select("*", *fields)
+    parsed = df.select("*", *[
+        F.from_json(clean_json(F.col(g)), schema).alias(f"__{g}") for g, (schema, _) in present.items()
+    ])
+    fields = [F.col(f"__{g}.{field}").alias(field) for g, (_, names) in present.items() for field in names]
+    wide = parsed.select(*df.columns, *fields)
     return fill_missing(wide, [c for c in CATEGORICAL if c in wide.columns], "null")
 
 

@@ -23,6 +23,16 @@ def read_products(spark: SparkSession, path: str, *cols: str | Column) -> DataFr
     return table.select(*cols) if cols else table
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a bare scan that has fewer splits than there are cores.
+
+    Meant before heavy work on texts that sit in a few large row groups; a table with
+    enough splits passes unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_dump(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
     """The Parquet files of a folder whose names match a pattern."""
     return spark.read.option("pathGlobFilter", glob).parquet(path)

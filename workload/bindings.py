@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import order_key
 from shelfmark.operators.categories import taxonomy_from_paths
+from shelfmark.sources.tables import spread
 
 SEED = "s1"
 
@@ -73,7 +74,8 @@ LABEL = r"regexp_replace(concat_ws(' > ', cat1, cat2, cat3), '(?: > )* > \z', ''
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents under lang > source."""
-    return table(spark, sf, "documents").select(
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("cat1"), F.col("source").alias("cat2"),
         F.concat_ws(" > ", "lang", "source").alias("category"),
     )
@@ -111,7 +113,7 @@ def key_sql(id_col: str = "id") -> str:
 
 def event_products(spark: SparkSession, sf: str) -> DataFrame:
     """Events as raw product records: attribute groups as CSV-quoted JSON text."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props"))
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.pmod("user_id", F.lit(3))
     gender = F.when(kind == 0, "male").when(kind == 1, "female")
