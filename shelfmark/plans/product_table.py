@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import MAX_DEPTH, label_path, level_names
-from shelfmark.operators.attributes import has_category_or_source, parse_attributes, split_levels, standardise
+from shelfmark.operators.attributes import parse_attributes, split_levels, standardise
 from shelfmark.operators.categories import category_counts, label_counts
 from shelfmark.operators.mapping import map_categories
 from shelfmark.operators.sizing import materialise
@@ -22,11 +22,11 @@ def product_table(
     come out of one pass over the dump.
     """
     rows = parse_attributes(standardise(dump))
-    rows = rows.where(has_category_or_source(mapped_campaign))
     of_campaign = F.when(F.col("campaignId") == mapped_campaign, F.col("category"))
     rows = map_categories(rows.withColumn("category", of_campaign), mapping)
     own = F.when(F.length("filterCategory") >= 3, F.col("filterCategory"))
     found = F.array_compact(F.array(F.coalesce(own, "mapped")) if dedupe else F.array(own, F.col("mapped")))
+    # a row with neither category has nothing to explode and drops out here
     out = rows.withColumn("category", F.explode(found)).drop("filterCategory", "mapped")
     return split_levels(out, "category", depth)
 

@@ -17,6 +17,7 @@ from shelfmark.models.estimators import make_estimator
 from shelfmark.operators import vocabulary as V
 from shelfmark.operators.categories import class_index, label_counts
 from shelfmark.operators.evaluation import class_names, confidence_sweep
+from shelfmark.operators.sizing import materialise
 from shelfmark.plans import product_table as P
 from shelfmark.session import scratch_path
 from shelfmark.sources.sinks import save_model, write_delimited
@@ -32,13 +33,14 @@ from workload.words import NORM
 
 
 def _dump(spark, sf):
-    """Events as a raw product dump; campaign 7 names its categories in its own way."""
-    return event_products(spark, sf).select(
+    """Events stored as a raw product dump; campaign 7 names its categories in its own way."""
+    raw = event_products(spark, sf).select(
         F.col("campaign").alias("CampaignId"), F.lit(1).alias("CatalogId"), F.col("id").alias("CatalogItemId"),
         F.col("event_type").alias("Name"), F.lit(None).cast("string").alias("ParentName"),
         F.lit("text").alias("Description"), F.lit(None).cast("string").alias("Labels"), F.lit("maker").alias("Manufacturer"),
         F.concat(F.lit("Web>"), F.initcap("event_type"), F.lit(">new")).alias("Category"), F.col("attributes").alias("Attributes"),
     )
+    return materialise(raw)
 
 
 def _event_mapping(spark, sf):

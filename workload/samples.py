@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.operators import sampling as S
+from shelfmark.sources.tables import spread
 from workload.bindings import DOCS, GEO, PARTS, docs, geo, key_sql, keyed, parts, table
 from workload.registry import query
 
@@ -30,7 +31,8 @@ def capped_sample(spark, sf):
 )
 def capped_sample_lines(spark, sf):
     """Three huge groups: no group is ever sorted as a whole."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    line = spread(table(spark, sf, "lineitem").select(*columns))
     ident = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     sample = S.stratified_cap(keyed(line.withColumn("id", ident)), ["l_returnflag"], 5000, "key")
     return sample.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
