@@ -44,9 +44,14 @@ def fit_topics(
 def describe_topics(model: PipelineModel, terms: int = 25) -> DataFrame:
     """The heaviest terms of each topic, as words."""
     vectorizer, lda = model.stages
-    words = F.array(*[F.lit(w) for w in vectorizer.vocabulary])
     topics = lda.describeTopics(terms)
-    return topics.select("topic", F.transform("termIndices", lambda i: F.get(words, i)).alias("terms"), "termWeights")
+    vocabulary = SparkSession.active().createDataFrame(list(enumerate(vectorizer.vocabulary)), "term int, word string")
+    pairs = F.arrays_zip("termIndices", "termWeights")
+    ranked = topics.select("topic", F.posexplode(pairs).alias("rank", "pair"))
+    named = ranked.join(vocabulary, ranked["pair.termIndices"] == vocabulary["term"])
+    entry = F.struct("rank", "word", F.col("pair.termWeights").alias("weight"))
+    listed = named.groupBy("topic").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return listed.select("topic", F.col("e.word").alias("terms"), F.col("e.weight").alias("weights"))
 
 
 def topic_distribution(model: PipelineModel, df: DataFrame, text: str, *keep: str) -> DataFrame:

@@ -159,7 +159,7 @@ def index_children(df: DataFrame, taxonomy: DataFrame, parent: str | None, level
 
 def min_support(df: DataFrame, frequencies: DataFrame, n: int, path: str = "category") -> DataFrame:
     """Rows whose label has at least ``n`` examples."""
-    enough = frequencies.where(F.col("count") >= n).select(F.col("category").alias(path))
+    enough = materialise(frequencies.where(F.col("count") >= n).select(F.col("category").alias(path)))
     return df.join(enough, path, "left_semi")
 
 

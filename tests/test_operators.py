@@ -180,4 +180,5 @@ def test_sweep_without_smoothing_and_empty_coverage(spark):
 def test_materialised_table_keeps_rows_and_schema(spark):
     df = spark.range(5).withColumn("v", F.array(F.lit("a")))
     again = materialise(df)
-    assert again.schema == df.schema and same(again, df)
+    # files make every column nullable; names, types and rows stay
+    assert again.dtypes == df.dtypes and same(again, df)

@@ -19,6 +19,7 @@ from shelfmark.operators.categories import class_index, label_counts
 from shelfmark.operators.evaluation import class_names, confidence_sweep
 from shelfmark.operators.sizing import materialise
 from shelfmark.plans import product_table as P
+from shelfmark.plans.evaluate import evaluation_reports
 from shelfmark.session import scratch_path
 from shelfmark.sources.sinks import save_model, write_delimited
 from shelfmark.sources.tables import read_delimited
@@ -243,6 +244,15 @@ def classifier_scores(spark, sf):
     return training.score(_documents(spark, sf), PipelineModel.load(path), names, "id", F.col("cat1").alias("actual"))
 
 
+@query("training_report")
+def training_report(spark, sf):
+    """Train, score both parts, and report accuracy by taxonomy level."""
+    model, vectors, test = _fit(spark, sf, "logistic")
+    names = class_names(class_index(_language_counts(spark, sf), 1))
+    reports = evaluation_reports(model, vectors, test, names, depth=2, show=["id"])
+    return reports["level_accuracy"]
+
+
 @query("cross_validation")
 def cross_validation(spark, sf):
     train, test = _split(spark, sf)
