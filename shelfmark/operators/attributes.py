@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import MAX_DEPTH, path_levels
 from shelfmark.functions.text import clean_json, text_of
+from shelfmark.operators.sizing import materialise
 
 # The attribute groups and fields of a product record.
 PHYSICAL = "struct<color array<string>, material string, apparelSizeSystem string, apparelSizeType string>"
@@ -99,7 +100,8 @@ def preprocess(
         *others,
     )
     levelled = split_levels(records, "category", depth)
-    return levelled.join(roots, levelled["cat1"] == roots[root], "left_semi")
+    known = materialise(roots.select(F.col(root).alias("__root")).distinct())
+    return levelled.join(known, levelled["cat1"] == known["__root"], "left_semi")
 
 
 def explode_clean(df: DataFrame, col: str, out: str = "word") -> DataFrame:

@@ -114,7 +114,7 @@ def attach_category_ids(
     df: DataFrame, taxonomy: DataFrame, depth: int, path: str = "category"
 ) -> DataFrame:
     """Add ``cat{i}_id``: the id of the first i levels of each row's path."""
-    ids = taxonomy.select(F.col("path").alias("__path"), F.col("id").alias("__id"))
+    ids = materialise(taxonomy.select(F.col("path").alias("__path"), F.col("id").alias("__id")))
     out = df
     for level in range(1, depth + 1):
         named = ids.select(F.col("__path").alias("__key"), F.col("__id").alias(f"cat{level}_id"))
@@ -153,7 +153,7 @@ def index_children(df: DataFrame, taxonomy: DataFrame, parent: str | None, level
     path = F.col("path")
     under = taxonomy.where(parent_path(path) == (parent or "")).select(path_leaf(path).alias("__name"))
     rank = F.row_number().over(Window.orderBy("__name")) - 1
-    children = under.distinct().select("__name", rank.cast("int").alias("target"))
+    children = materialise(under.distinct().select("__name", rank.cast("int").alias("target")))
     return df.join(children, F.col(level_col) == F.col("__name"), "left").drop("__name")
 
 
@@ -168,6 +168,7 @@ def roll_up_rare(frequencies: DataFrame, min_count: int) -> DataFrame:
 
     A label with no such ancestor goes to its level-1 category.
     """
+    frequencies = materialise(frequencies)
     steps = frequencies.select("category", F.inline(path_prefixes(F.col("category"))))
     enough = frequencies.where(F.col("count") >= min_count).select(
         F.col("category").alias("prefix"), F.lit(True).alias("enough")

@@ -41,6 +41,7 @@ def _with_sizes(errors: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def confused_by_count(pairs: DataFrame, k: int = 50, min_count: int = 100) -> DataFrame:
     """The most frequent confusions, with the sizes of both classes."""
+    pairs = materialise(pairs)
     errors = (
         pairs.where((F.col("actual") != F.col("predicted")) & (F.col("count") >= min_count))
         .orderBy(F.desc("count"), "actual", "predicted")
@@ -51,6 +52,7 @@ def confused_by_count(pairs: DataFrame, k: int = 50, min_count: int = 100) -> Da
 
 def confused_by_rate(pairs: DataFrame, k: int = 50) -> DataFrame:
     """The confusions that take the largest percentage of their actual class."""
+    pairs = materialise(pairs)
     errors = _with_sizes(pairs.where(F.col("actual") != F.col("predicted")), class_sizes(pairs))
     rate = F.round(100 * F.col("count") / F.col("actual_size"), 3)
     return (
