@@ -47,7 +47,10 @@ def is_placeholder(word: Column) -> Column:
 
 
 def order_key(id_col: Column | str, seed: str | int = "") -> Column:
-    """A repeatable pseudo-random hex key: same rows, same order on every run."""
+    """A repeatable pseudo-random hex key: same rows, same order on every run.
+
+    The id must be unique and not NULL; samples rely on keys that differ.
+    """
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat(col.cast("string"), F.lit(f":{seed}")))
 

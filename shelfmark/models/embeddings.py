@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.models.stages import product_tokenizer
+from shelfmark.operators.sizing import materialise
 from shelfmark.sources.sinks import save_model
 
 # The name and description embeddings; trainer and classifier share them.
@@ -35,7 +36,8 @@ def model_path(location: str, spec: Params) -> str:
 def train_word2vec(df: DataFrame, feature: str, **params) -> tuple[Word2Vec, Word2VecModel]:
     """Fit an embedding of a text column; parameters default to those of names."""
     spec = word2vec(feature, **(params or NAME))
-    return spec, spec.fit(product_tokenizer(feature).transform(df.select(feature)))
+    tokens = product_tokenizer(feature).transform(df.select(feature)).select(spec.getInputCol())
+    return spec, spec.fit(materialise(tokens))  # training reads its input several times
 
 
 def store_word2vec(spec: Word2Vec, model: Word2VecModel, location: str) -> str:

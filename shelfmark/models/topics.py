@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from shelfmark.functions.text import add_term, round_array
 from shelfmark.functions.tokens import product_tokens
 from shelfmark.models.stages import count_vectors
 from shelfmark.operators.sampling import stratified_cap
+from shelfmark.operators.sizing import materialise
 
 # Settings of the topic model.
 TOPICS = {
@@ -37,8 +37,12 @@ def fit_topics(
     """
     sample = topic_tokens(stratified_cap(df, [category], cap, order), text)
     named = sample.withColumn("topicTokens", add_term(F.col("topicTokens"), F.col(category), keep_counts))
+    # the optimiser reads its input once per iteration, so tokens and vectors are stored
+    tokens = materialise(named.select("topicTokens"))
+    vectorizer = count_vectors("topic", vocab_size).fit(tokens)
+    vectors = materialise(vectorizer.transform(tokens).select("topicVector"))
     lda = LDA(featuresCol="topicVector", optimizer="online", **{**TOPICS, **params})
-    return Pipeline(stages=[count_vectors("topic", vocab_size), lda]).fit(named)
+    return PipelineModel(stages=[vectorizer, lda.fit(vectors)])
 
 
 def describe_topics(model: PipelineModel, terms: int = 25) -> DataFrame:

@@ -5,6 +5,8 @@ are ordered by a hexadecimal key that spreads them evenly (``order_key``); its f
 digits cut every category into even slices. Slice counts say which slice holds a
 wanted rank, and only that slice is sorted to find the key at the rank. A sample is
 then a plain comparison with that key: no shuffle of the rows.
+
+``order`` always names such a key column: hexadecimal, unique within its group.
 """
 
 from __future__ import annotations
