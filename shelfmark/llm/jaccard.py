@@ -8,8 +8,10 @@ distinct word shingles. No pair is missed and no link is guessed:
 * Shingles have one global order, rare ones first (by a fixed-size table of bucket
   counts over all documents; the order only affects speed). Linked sets share a
   shingle among the first ``|A| - ceil(t |A|) + 1`` of each, so only those are dealt out.
-* Star pairs first: each shingle's holders are compared with its least and greatest
-  holder, which is linear in the holders. Linked classes are joined to components.
+* Star pairs first: each shingle's holders are compared with one of them, which is
+  linear in the holders; shingles differ in whom they pick, so that a group of near
+  copies meets several. Linked classes are joined to components; a second turn picks
+  others, where holders still are in different components.
 * Then, only where holders of one shingle still are in different components: tiles of
   bounded blocks in one size band, whose members meet with hashed bitmaps. A bit set
   in A and not in B stands for a shingle of A that B lacks, so bit counts bound the
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
@@ -37,6 +39,8 @@ from shelfmark.llm.tables import materialise
 PERCENT = 75
 #: Counters of the order table; members of a block within a tile; bits of the candidate filter.
 BUCKETS, BLOCK, FILTER_BITS = 1 << 16, 512, 1 << 24
+#: Different holders that one group of near copies is compared with, by shingle.
+PIVOTS = 8
 
 
 def _class_of(shingles: np.ndarray) -> np.uint64:
@@ -140,7 +144,7 @@ def _may_link(percent: int):
 def _tile_pairs(percent: int):
     """Members sorted by tile, to the pairs within tiles whose bit counts allow a link."""
 
-    def pairs(of: dict[str, np.ndarray], bitmaps: list[np.ndarray]):
+    def pairs(of: dict[str, np.ndarray], bitmaps: list[np.ndarray], tokens: list[np.ndarray]):
         size = min(len(x) for x in bitmaps)
         bits = np.stack([_folded(x, size) for x in bitmaps]).view(np.uint64)
         n, role, side, comp, ids = of["n"], of["small"], of["side"], of["comp"], of["class"]
@@ -153,7 +157,10 @@ def _tile_pairs(percent: int):
             ok = _enough(bound, n[i], n[rest], percent) & (comp[rest] != comp[i]) & ~(role[i] & role[rest])
             ok &= (side[i] == 2) | (side[rest] != side[i])
             for j in np.flatnonzero(ok) + i + 1:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+                # in the tile of their least common shingle only
+                mine = tokens[i][tokens[i] < of["token"][i]]
+                if not np.isin(mine, tokens[j], assume_unique=True).any():
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches):
         held = None
@@ -168,11 +175,12 @@ def _tile_pairs(percent: int):
                 held = now.slice(whole).combine_chunks().to_batches()[0]
                 now, cuts = now.slice(0, whole), cuts[:-1]
             bounds = [0, *cuts.tolist(), now.num_rows]
-            of = {c: now[c].to_numpy() for c in ("class", "n", "small", "side", "comp")}
+            of = {c: now[c].to_numpy() for c in ("token", "class", "n", "small", "side", "comp")}
+            lists = [x.values.to_numpy() for x in now["tokens"]]
             maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in now["bitmap"]]
             found = {
                 pair for lo, hi in zip(bounds, bounds[1:], strict=False) if hi - lo > 1
-                for pair in pairs({c: v[lo:hi] for c, v in of.items()}, maps[lo:hi])
+                for pair in pairs({c: v[lo:hi] for c, v in of.items()}, maps[lo:hi], lists[lo:hi])
             }
             if found:
                 a, b = zip(*found, strict=True)
@@ -222,6 +230,11 @@ def _linked(percent: int):
     return run
 
 
+def _pivot(value: Column, token: Column, turn: int) -> Column:
+    """A class to its rank among a shingle's holders, and back; one of PIVOTS orders, by the shingle."""
+    return value.bitwiseXOR(F.xxhash64(F.pmod(token, F.lit(PIVOTS)), F.lit(turn)))
+
+
 def _filter_of(pairs: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with the classes of ``pairs``, made by Spark."""
     bit = F.pmod(F.col("class"), F.lit(FILTER_BITS))
@@ -266,34 +279,49 @@ def jaccard_components(
     prefixes = docs.select("text").mapInArrow(_prefixes(width, percent, counts), "class long, n long, tokens array<long>, bitmap binary")
     sets = materialise(prefixes.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "bitmap"))))
     postings = sets.select("class", F.explode("tokens").alias("token"))
-    shared = materialise(
-        postings.groupBy("token").agg(F.count("*").alias("holders"), F.min("class").alias("least"), F.max("class").alias("most")).where("holders > 1")
-    )
-    members = materialise(postings.join(shared.where("holders > 2"), "token"))
-
-    star = members.select(F.explode(F.array("least", "most")).alias("x"), F.col("class").alias("y")).unionByName(
-        shared.where("holders = 2").select(F.col("least").alias("x"), F.col("most").alias("y")))
-    star = materialise(star.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pivot = _pivot(F.col("class"), F.col("token"), 0)
+    shared = materialise(postings.groupBy("token").agg(
+        F.count("*").alias("holders"), F.min(pivot).alias("pivot"), F.min("class").alias("x"), F.max("class").alias("y")).where("holders > 1"))
+    members = materialise(postings.join(shared.where("holders > 2").select("token", "holders", "pivot"), "token"))
     maps = sets.select("class", "n", "bitmap")
-    sized = star.join(maps.toDF("a", "n_a", "bitmap_a"), "a").join(maps.toDF("b", "n_b", "bitmap_b"), "b")
-    sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    links = _verified(docs, materialise(sized.mapInArrow(_may_link(percent), "a long, b long")), width, percent)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        sized = materialise(pairs).join(maps.toDF("a", "n_a", "bitmap_a"), "a").join(maps.toDF("b", "n_b", "bitmap_b"), "b")
+        sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        return _verified(docs, materialise(sized.mapInArrow(_may_link(percent), "a long, b long")), width, percent)
+
+    def placed(roots: DataFrame) -> DataFrame:
+        """The holders of the shingles whose holders are in different components."""
+        named = members.select("token", "class", "holders").join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+            "token", "class", "holders", F.coalesce("root", "class").alias("comp"))
+        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        return materialise(named.join(mixed, "token", "left_semi"))
+
+    first = members.select(_pivot(F.col("pivot"), F.col("token"), 0).alias("x"), F.col("class").alias("y"))
+    links = linked(first.unionByName(shared.where("holders = 2").select("x", "y")))
+    apart = placed(components(links))
+    # once more with other pivots, across components
+    own = _pivot(F.col("class"), F.col("token"), 1)
+    again = apart.join(apart.groupBy("token").agg(F.min(own).alias("pivot")), "token")
+    again = again.select("token", "comp", _pivot(F.col("pivot"), F.col("token"), 1).alias("x"), F.col("class").alias("y"))
+    other = again.select(F.col("x").alias("class"), "token").distinct().join(apart, ["class", "token"]).select("token", F.col("comp").alias("other"))
+    links = links.unionByName(linked(again.join(other, "token").where("comp <> other")))
     roots = components(links)
 
     # what the stars left apart
-    placed = members.select("token", "class", "holders").join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "token", "class", "holders", F.coalesce("root", "class").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    apart = placed(roots)
+    lists = apart.groupBy("class").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     blocks = F.ceil(F.col("holders") / BLOCK).cast("int")
     dealt = (
-        placed.join(mixed, "token", "left_semi").join(maps, "class").withColumn("blocks", blocks)
+        apart.join(maps.join(lists, "class"), "class").withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("small", F.explode(F.array(F.lit(False), F.lit(True))))
         .select(
             F.xxhash64("token", band + F.col("small").cast("int"), F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-            "class", "n", "comp", "small", "bitmap",
+            "token", "class", "n", "comp", "small", "bitmap", "tokens",
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
