@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfmark.llm.decontaminate import benchmark_matches
 from shelfmark.llm.jaccard import jaccard_components
-from shelfmark.llm.tables import documents
+from shelfmark.llm.language_model import text_scores
+from shelfmark.llm.mixing import MIXED_SQL, mixed_sizes
+from shelfmark.llm.passages import repeated_passages
+from shelfmark.llm.pii import personal_by_document
+from shelfmark.llm.quality import text_quality
+from shelfmark.llm.secrets import secrets_by_document
+from shelfmark.llm.tables import documents, fold, table
+from shelfmark.llm.templates import LINES_SQL, drop_recurring_lines
+from shelfmark.llm.toxicity import CUT, FOLDS, HELD_OUT, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +28,64 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(documents(spark, sf_dir))
+
+
+SQL["op1_mix_sources"] = MIXED_SQL
+
+
+@_query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
+@_query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_by_document(documents(spark, sf_dir))
+
+
+@_query
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    lines = F.when(F.col("before").isNull(), 0).otherwise(F.size(F.split("before", "\n"))).cast("long")
+    kept = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return drop_recurring_lines(docs.withColumn("before", F.col("text"))).select(
+        "doc_id", lines.alias("n_lines"), (lines - kept).alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+SQL["op6_line_templates"] = LINES_SQL
+
+
+@_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_by_document(documents(spark, sf_dir))
+
+
+@_query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(documents(spark, sf_dir))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored, score = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= CUT).cast("int").alias("predicted"))
+
+
 @_query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

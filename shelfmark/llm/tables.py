@@ -26,3 +26,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def word_count(text: Column) -> Column:
+    """Number of words, 0 for null."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, BLANKS))).otherwise(0).cast("long")

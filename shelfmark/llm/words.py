@@ -70,10 +70,14 @@ class Words:
     first: np.ndarray  # n + 1 offsets into the words
 
     def hashes(self, lower: bool = True) -> np.ndarray:
+        return self.span_hashes(self.start, self.end, lower)
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+        """A hash of the bytes of each span."""
         power, inverse = _power_table(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((_LOWERED if lower else _VALUES)[self.data] * power[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -93,7 +97,7 @@ def split_words(data: np.ndarray, texts: np.ndarray) -> Words:
     return Words(data, texts, start, np.flatnonzero(closes) + 1, np.searchsorted(start, texts))
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of whole texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -104,13 +108,13 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
 
-def slices_of_words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    for row, stop, data, offsets in text_slices(column):
+def slices_of_words(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, Words]]:
+    for row, stop, data, offsets in text_slices(column, limit):
         yield row, stop, split_words(data, offsets)
 
 
