@@ -12,8 +12,9 @@ distinct word shingles. No pair is missed and no link is guessed:
   linear in the holders; shingles differ in whom they pick, so that a group of near
   copies meets several. Linked classes are joined to components; a second turn picks
   others, where holders still are in different components.
-* Then, only where holders of one shingle still are in different components: tiles of
-  bounded blocks in one size band, whose members meet with hashed bitmaps. A bit set
+* Then, only where holders of a shingle still are in different components: tiles of
+  bounded blocks in one size band, whose members meet with hashed bitmaps. Shingles
+  that span the same components are one set of tiles, so that a pair meets once. A bit set
   in A and not in B stands for a shingle of A that B lacks, so bit counts bound the
   overlap from above; pairs that pass are intersected as sorted arrays.
 
@@ -144,7 +145,7 @@ def _may_link(percent: int):
 def _tile_pairs(percent: int):
     """Members sorted by tile, to the pairs within tiles whose bit counts allow a link."""
 
-    def pairs(of: dict[str, np.ndarray], bitmaps: list[np.ndarray], tokens: list[np.ndarray]):
+    def pairs(of: dict[str, np.ndarray], bitmaps: list[np.ndarray]):
         size = min(len(x) for x in bitmaps)
         bits = np.stack([_folded(x, size) for x in bitmaps]).view(np.uint64)
         n, role, side, comp, ids = of["n"], of["small"], of["side"], of["comp"], of["class"]
@@ -157,10 +158,7 @@ def _tile_pairs(percent: int):
             ok = _enough(bound, n[i], n[rest], percent) & (comp[rest] != comp[i]) & ~(role[i] & role[rest])
             ok &= (side[i] == 2) | (side[rest] != side[i])
             for j in np.flatnonzero(ok) + i + 1:
-                # in the tile of their least common shingle only
-                mine = tokens[i][tokens[i] < of["token"][i]]
-                if not np.isin(mine, tokens[j], assume_unique=True).any():
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches):
         held = None
@@ -175,12 +173,11 @@ def _tile_pairs(percent: int):
                 held = now.slice(whole).combine_chunks().to_batches()[0]
                 now, cuts = now.slice(0, whole), cuts[:-1]
             bounds = [0, *cuts.tolist(), now.num_rows]
-            of = {c: now[c].to_numpy() for c in ("token", "class", "n", "small", "side", "comp")}
-            lists = [x.values.to_numpy() for x in now["tokens"]]
+            of = {c: now[c].to_numpy() for c in ("class", "n", "small", "side", "comp")}
             maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in now["bitmap"]]
             found = {
                 pair for lo, hi in zip(bounds, bounds[1:], strict=False) if hi - lo > 1
-                for pair in pairs({c: v[lo:hi] for c, v in of.items()}, maps[lo:hi], lists[lo:hi])
+                for pair in pairs({c: v[lo:hi] for c, v in of.items()}, maps[lo:hi])
             }
             if found:
                 a, b = zip(*found, strict=True)
@@ -282,7 +279,7 @@ def jaccard_components(
     pivot = _pivot(F.col("class"), F.col("token"), 0)
     shared = materialise(postings.groupBy("token").agg(
         F.count("*").alias("holders"), F.min(pivot).alias("pivot"), F.min("class").alias("x"), F.max("class").alias("y")).where("holders > 1"))
-    members = materialise(postings.join(shared.where("holders > 2").select("token", "holders", "pivot"), "token"))
+    members = materialise(postings.join(shared.where("holders > 2").select("token", "pivot"), "token"))
     maps = sets.select("class", "n", "bitmap")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -293,10 +290,10 @@ def jaccard_components(
 
     def placed(roots: DataFrame) -> DataFrame:
         """The holders of the shingles whose holders are in different components."""
-        named = members.select("token", "class", "holders").join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-            "token", "class", "holders", F.coalesce("root", "class").alias("comp"))
-        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        return materialise(named.join(mixed, "token", "left_semi"))
+        named = members.select("token", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+            "token", "class", F.coalesce("root", "class").alias("comp"))
+        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return materialise(named.join(mixed, "token"))
 
     first = members.select(_pivot(F.col("pivot"), F.col("token"), 0).alias("x"), F.col("class").alias("y"))
     links = linked(first.unionByName(shared.where("holders = 2").select("x", "y")))
@@ -309,19 +306,18 @@ def jaccard_components(
     links = links.unionByName(linked(again.join(other, "token").where("comp <> other")))
     roots = components(links)
 
-    # what the stars left apart
-    apart = placed(roots)
-    lists = apart.groupBy("class").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    # what the stars left apart: shingles whose holders span the same components are one group
+    apart = materialise(placed(roots).select("lo", "hi", "class", "comp").distinct())
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    blocks = F.ceil(F.col("holders") / BLOCK).cast("int")
+    blocks = apart.groupBy("lo", "hi").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        apart.join(maps.join(lists, "class"), "class").withColumn("blocks", blocks)
+        apart.join(blocks, ["lo", "hi"]).join(maps, "class")
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("small", F.explode(F.array(F.lit(False), F.lit(True))))
         .select(
-            F.xxhash64("token", band + F.col("small").cast("int"), F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-            "token", "class", "n", "comp", "small", "bitmap", "tokens",
+            F.xxhash64("lo", "hi", band + F.col("small").cast("int"), F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
+            "class", "n", "comp", "small", "bitmap",
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )

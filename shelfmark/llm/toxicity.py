@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary labelled texts, one on toxic
-ones; the toxic one is followed by the ordinary one, so that what both kinds of text
-share costs the same in either. A text is cut into windows of whole words, each window
+ones: the byte sequences that are far commoner in those, followed by the ordinary one,
+so that what both kinds of text share costs the same in either. A text is cut into windows of whole words, each window
 is compressed with both, and the bytes that the toxic dictionary saves are the window's
 gain. Windows with a gain over each of a few thresholds, per text and per word, are the
 inputs of a logistic curve fitted on labelled texts that trained neither dictionary.
@@ -20,6 +20,8 @@ an id that is labelled toxic once is toxic. Repeated rows get equal scores.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +38,13 @@ FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
 WINDOW_WORDS = 16
 SAMPLE, CALIBRATE = 2_000, 6_000
-DICTIONARY_BYTES = 16 << 10
-GAINS = (2, 3, 4, 5, 6, 8)
+DICTIONARY_BYTES = 4 << 10
+GAINS = (1, 2, 3, 4, 5, 7)
 LEVEL = 3
+#: Lengths of the byte sequences that the toxic dictionary is made of, and when one counts: in so many toxic texts, so many
+#: times as often as in ordinary ones, and by chance with a probability of e^-EVIDENCE at most (there are millions of them).
+PIECES, MAX_WORD = (4, 5, 6, 7, 8, 9), 64
+LEAST_TEXTS, TIMES, EVIDENCE = 4, 5, 12.0
 
 
 @dataclass
@@ -53,7 +59,9 @@ class Model:
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     made = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     parameters = zstd.ZstdCompressionParameters.from_level(
-        LEVEL, source_size=256, dict_size=len(content), min_match=3, strategy=zstd.STRATEGY_LAZY, write_content_size=False, write_dict_id=False)
+        LEVEL, source_size=128, dict_size=len(content), min_match=4, strategy=zstd.STRATEGY_GREEDY,
+        write_content_size=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+    made.precompute_compress(compression_params=parameters)
     return zstd.ZstdCompressor(dict_data=made, compression_params=parameters)
 
 
@@ -93,20 +101,71 @@ def features(column: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    """A dictionary trained on the windows of some texts; the joined texts if they are too few to train on."""
-    samples = []
-    for _, _, words in W.slices_of_words(pa.array(texts, pa.string())):
-        start, length, _ = _windows(words)
-        data = _lowered(words.data)
-        samples += [data[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on samples; the samples themselves if they are too few to train on."""
     try:
         return zstd.train_dictionary(size, samples, k=32, d=6).as_bytes()
     except zstd.ZstdError:
         return b" ".join(samples)[:size]
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def _window_bytes(texts: list[str]) -> list[bytes]:
+    out = []
+    for _, _, words in W.slices_of_words(pa.array(texts, pa.string())):
+        start, length, _ = _windows(words)
+        data = _lowered(words.data)
+        out += [data[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+    return out
+
+
+def _pieces(word: bytes) -> dict[bytes, int]:
+    """The byte sequences of a word with a blank on either side, and where they start."""
+    word = b" " + word[:MAX_WORD] + b" "
+    return {word[i : i + n]: i for n in PIECES for i in range(len(word) - n + 1)}
+
+
+def toxic_content(ordinary: list[str], toxic: list[str]) -> list[bytes]:
+    """What sets toxic texts apart: the stretches of words whose byte sequences are far commoner there, commonest first.
+
+    Counted once a text. Everything else in toxic texts is ordinary and would only make the two dictionaries alike.
+    """
+    words_of = lambda t: set(t.encode().lower().split())
+    pieces = {w: _pieces(w) for t in (*ordinary, *toxic) for w in words_of(t)}
+    usual, here = Counter(), Counter()
+    for texts, counts in ((ordinary, usual), (toxic, here)):
+        for t in texts:
+            counts.update(set().union(*(pieces[w].keys() for w in words_of(t))))
+
+    def tells(piece: bytes, n: int) -> bool:
+        expected = (usual[piece] + 0.5) * len(toxic) / len(ordinary)
+        return n >= max(LEAST_TEXTS, TIMES * expected) and n * math.log(n / expected) - (n - expected) >= EVIDENCE
+
+    telling = {p for p, n in here.items() if n >= LEAST_TEXTS and tells(p, n)}
+    stretches: Counter[bytes] = Counter()
+    for t in toxic:
+        own = set()
+        for w in words_of(t):
+            at = sorted((i, i + len(p)) for p, i in pieces[w].items() if p in telling)
+            if at:  # from the first telling piece as long as they overlap
+                a, b = at[0]
+                for i, j in at:
+                    b = max(b, j) if i <= b else b
+                own.add((b" " + w + b" ")[a:b])
+        stretches.update(own)
+    return [s for s, n in stretches.most_common() if n >= 2]
+
+
+def _toxic_dictionary(ordinary: list[str], toxic: list[str], size: int) -> bytes:
+    out = b""
+    for stretch in toxic_content(ordinary, toxic):
+        if stretch not in out:
+            out = stretch + out
+        if len(out) >= size:
+            break
+    return out
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Logistic regression by Newton steps; the intercept comes last."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -136,16 +195,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
         .withColumn("order", F.xxhash64("id"))
     )
-    picked = [known.where(F.col("y") == y).orderBy("order").limit(sample).withColumn("use", F.lit("dictionary")) for y in (0, 1)]
-    picked.append(known.orderBy(F.col("order").desc()).limit(calibrate).withColumn("use", F.lit("curve")))
-    ids = picked[0].unionByName(picked[1]).unionByName(picked[2]).groupBy("id").agg(F.min("y").alias("y"), F.collect_set("use").alias("uses"))
+    # three fifths for the dictionaries, the rest for the curve
+    part = F.pmod(F.col("order"), F.lit(5)) < 3
+    picked = [known.where(part & (F.col("y") == y)).orderBy("order").limit(sample) for y in (0, 1)]
+    picked.append(known.where(~part).orderBy("order").limit(calibrate))
+    ids = picked[0].unionByName(picked[1]).unionByName(picked[2]).withColumn("trains", part)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(ids, "id").orderBy("id", "text").toPandas()
-    trained = rows["uses"].map(lambda u: "dictionary" in u).to_numpy(bool)
+    trained = rows["trains"].to_numpy(bool)
     ordinary, toxic = (rows["text"][trained & (rows["y"] == y).to_numpy()].tolist() for y in (0, 1))
     if not ordinary or not toxic:
         return None
-    shared = _dictionary(ordinary, dictionary_bytes)
-    model = Model(shared, _dictionary(toxic, dictionary_bytes) + shared)
+    shared = _dictionary(_window_bytes(ordinary), dictionary_bytes)
+    model = Model(shared, _toxic_dictionary(ordinary, toxic, dictionary_bytes) + shared)
     # texts that trained no dictionary; with few labels there may be none of them
     curve = ~trained if len(set(rows["y"][~trained])) == 2 and (~trained).sum() >= 100 else np.ones(len(rows), bool)
     x = features(pa.array(rows["text"][curve].tolist(), pa.string()), model)
