@@ -44,7 +44,7 @@ LEVEL = 3
 #: Lengths of the byte sequences that the toxic dictionary is made of, and when one counts: in so many toxic texts, so many
 #: times as often as in ordinary ones, and by chance with a probability of e^-EVIDENCE at most (there are millions of them).
 PIECES, MAX_WORD = (4, 5, 6, 7, 8, 9), 64
-LEAST_TEXTS, TIMES, EVIDENCE = 4, 5, 12.0
+LEAST_TEXTS, TIMES, EVIDENCE = 4, 5, 20.0
 
 
 @dataclass
@@ -118,6 +118,21 @@ def _window_bytes(texts: list[str]) -> list[bytes]:
     return out
 
 
+def different(texts: list[str], most_seen: float = 0.2) -> list[str]:
+    """The texts without those that mostly repeat earlier ones: copies are no further evidence."""
+    seen: set[int] = set()
+    out = []
+    for row, _, words in W.slices_of_words(pa.array(texts, pa.string())):
+        hashes = words.hashes()
+        windows = W.windows_hashed(hashes, W.SHINGLE)
+        for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
+            own = set(W.shingle_set(hashes, windows, a, b).tolist())
+            if len(own & seen) <= most_seen * len(own):
+                out.append(texts[row + i])
+            seen |= own
+    return out
+
+
 def _pieces(word: bytes) -> dict[bytes, int]:
     """The byte sequences of a word with a blank on either side, and where they start."""
     word = b" " + word[:MAX_WORD] + b" "
@@ -202,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = picked[0].unionByName(picked[1]).unionByName(picked[2]).withColumn("trains", part)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(ids, "id").orderBy("id", "text").toPandas()
     trained = rows["trains"].to_numpy(bool)
-    ordinary, toxic = (rows["text"][trained & (rows["y"] == y).to_numpy()].tolist() for y in (0, 1))
+    ordinary, toxic = (different(rows["text"][trained & (rows["y"] == y).to_numpy()].tolist()) for y in (0, 1))
     if not ordinary or not toxic:
         return None
     shared = _dictionary(_window_bytes(ordinary), dictionary_bytes)
