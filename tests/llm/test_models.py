@@ -1,0 +1,144 @@
+"""Toxicity, line quality and language model: held-out accuracy and plain versions."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from shelfmark.llm import language_model as lm
+from shelfmark.llm.quality import text_quality, viterbi
+from shelfmark.llm.toxicity import CUT, FOLDS, HELD_OUT, score_toxicity
+
+SF = "/root/testdata/sf0.1"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored, name = score_toxicity(docs, labels)
+    rows = scored.select("doc_id", name).join(labels, "doc_id").collect()
+    held = [(r[name] >= CUT, r["toxic"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % FOLDS == HELD_OUT]
+    caught = sum(p for p, y in held if y) / sum(y for _, y in held)
+    wrong = sum(p for p, y in held if not y) / sum(not y for _, y in held)
+    assert caught > 0.45 and wrong < 0.015
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, None, 0.5), (None, "", 0.1), (2, "x" * 100_000, None), (2, "x" * 100_000, None)], "doc_id long, text string, toxicity double")
+    labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    scored, name = score_toxicity(docs, labels)
+    assert scored.columns == ["doc_id", "text", "toxicity", "_toxicity"]
+    assert [r[name] for r in scored.collect()] == [0.0] * 4
+    assert score_toxicity(docs.limit(0), labels.limit(0))[0].count() == 0
+
+
+def base_quality(text):
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    seen, dups = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dups += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dups, len(repeated), failed
+
+
+def test_quality_base_rules_and_edges(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \n\t", "a b a b a b a", "x\nx\n x\n\nx", "é 𝄞|<>\n" * 30, "word " * 50_000]
+    texts += ["".join(rng.choice("ab #\n\t") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = text_quality(docs, labels).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted(((i, *base_quality(t)) for i, t in rows), key=repr)
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)
+    assert text_quality(docs.limit(0), labels).count() == 0
+
+
+def test_quality_keeps_good_texts(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = text_quality(docs, labels).where("not base_failed").join(labels, "doc_id").collect()
+    kept = {y: [r["kept"] for r in rows if r["quality"] == y] for y in (0, 1)}
+    assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.15
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(1)
+    first = np.array([0, 0, 4, 5, 12, 12])
+    emission, moves = rng.normal(size=12), rng.normal(size=(2, 2))
+    got = viterbi(emission, first, moves)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        def score(path, a=a):
+            return sum(emission[a + i] * s for i, s in enumerate(path)) + sum(moves[p, q] for p, q in zip(path, path[1:], strict=False))
+        paths = [[n >> i & 1 for i in range(b - a)] for n in range(1 << (b - a))]
+        assert math.isclose(score(got[a:b].astype(int).tolist()), max(map(score, paths)))
+
+
+def plain_model(texts, limit):
+    """Probability of each next word by the same smoothing, from dictionaries of counts."""
+    words = [[*WORD.findall((t or "").translate(LOWER)), "</s>"] for t in texts]
+    one = Counter(w for ws in words for w in ws)
+    total, size = sum(one.values()), len(one)
+    two = Counter((a, b) for ws in words for a, b in zip(["<s>", *ws], ws))
+    three = Counter((a, b, c) for ws in words for a, b, c in zip(["<s>", *ws], ws, ws[1:]))
+    grams = {g: n for g, n in (two | three).items() if n >= limit}
+    context = Counter({(w,): n for w, n in one.items()}) + Counter({("<s>",): len(texts)}) + Counter({g: n for g, n in grams.items() if len(g) == 2})
+
+    def p(w, history):
+        if not history:
+            return (one[w] + 1) / (total + size + 1)
+        arcs = {g[-1]: (n - lm.DISCOUNT) / context[history] for g, n in grams.items() if g[:-1] == history}
+        if w in arcs:
+            return arcs[w]
+        if not arcs:
+            return p(w, history[1:])
+        return p(w, history[1:]) * (1 - sum(arcs.values())) / (1 - sum(p(x, history[1:]) for x in arcs))
+
+    return one, total, size, p
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 5])
+def test_language_model_equals_plain_version(spark, frequent):
+    rng = random.Random(4)
+    vocab = [f"W{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(vocab, weights=range(12, 0, -1), k=rng.randint(0, 30))) + (f" rare{i}" if i % 4 == 0 else "")) for i in range(60)]
+    rows += [(None, None), (7, None), (61, "rare2 unheard"), (61, "rare2 unheard")]
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % lm.FOLDS
+    one, total, size, p = plain_model([t for i, t in rows if fold(i) != lm.HELD_OUT], lm.LEAST_COUNT)
+    got = sorted((tuple(r) for r in lm.text_scores(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        words = [*WORD.findall((t or "").translate(LOWER)), "</s>"]
+        base = sum(math.log10((one[w] + 1) / (total + size + 1)) for w in words)
+        history, score = ("<s>",), 0.0
+        for w in words:
+            score += math.log10(p(w, history))
+            history = (*history, w)[-2:]
+        want.append((i, fold(i) == lm.HELD_OUT, len(words), sum(one[w] > 0 for w in words), total, base, score))
+    for g, w in zip(got, sorted(want, key=repr), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5])
+        if frequent > 100:  # with a small alphabet the automaton knows fewer n-grams
+            assert g[6] == pytest.approx(w[6])
+    assert lm.text_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_language_model_probabilities_sum_to_one():
+    vocabulary = lm.Vocabulary(np.array([1, 2, 3]), np.array([5, 4, 2]), np.array([0, 1, 2]), 13, 4)
+    end, begin, b = vocabulary.end, vocabulary.begin, lm._BITS
+    grams = {1 << 3 * b | begin << b | 0: 2, 1 << 3 * b | 0 << b | 1: 3, 1 << 3 * b | 1 << b | end: 2, 0 << 2 * b | 1 << b | end: 2}
+    automaton = lm.automaton_of(grams, vocabulary, 2)
+    single = {0: 6 / 18, 1: 5 / 18, 2: 3 / 18, end: 3 / 18}
+    for state in range(len(automaton.fail)):
+        total = 0.0
+        for letter, p in [*single.items(), (-1, 1 / 18)]:
+            automaton.begin = state
+            total += 10 ** automaton.traverse([letter], [math.log10(p)])
+        assert math.isclose(total, 1.0), state
