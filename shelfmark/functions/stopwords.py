@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Word lists that decide which tokens the jobs keep.
@@ -96,6 +96,11 @@ def english() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
+def read_stop_words(spark: SparkSession, path: str) -> list[str]:
+    """A stop-word list of one's own from a text file, one word a line; a few hundred words."""
+    return [r["value"] for r in spark.read.text(path).distinct().orderBy("value").collect()]
+
+
 def remove_stop_words(tokens: Column, words: Iterable[str], case_sensitive: bool = False) -> Column:
     """Drop stop words from a token array, keeping order and repeats."""
     if case_sensitive:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,13 +48,19 @@ def is_placeholder(word: Column) -> Column:
     return word.rlike(r"\A<.*>\z")
 
 
-def order_key(id_col: Column | str, seed: str | int = "") -> Column:
+def order_key(id_cols: Column | str | Sequence[Column | str], seed: str | int = "") -> Column:
     """A repeatable pseudo-random hex key: same rows, same order on every run.
 
-    The id must be unique and not NULL; samples rely on keys that differ.
+    Name the columns that together tell rows apart. A missing part counts as one more
+    value; with all parts missing there is no key, and samplers fall back on the row.
     """
-    col = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(col.cast("string"), F.lit(f":{seed}")))
+    named = [id_cols] if isinstance(id_cols, str | Column) else list(id_cols)
+    cols = [F.col(c) if isinstance(c, str) else c for c in named]
+    parts = [c.cast("string") for c in cols]
+    if len(parts) == 1:
+        return F.md5(F.concat(parts[0], F.lit(f":{seed}")))
+    joined = F.concat_ws(":", *[F.coalesce(p, F.lit("\x00")) for p in parts], F.lit(str(seed)))
+    return F.when(F.coalesce(*parts).isNotNull(), F.md5(joined))
 
 
 def round_array(values: Column, places: int = 3) -> Column:

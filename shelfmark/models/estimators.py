@@ -23,10 +23,10 @@ def _mlp(**params) -> Estimator:
     return MultilayerPerceptronClassifier(solver="gd", **params)
 
 
-def _boosted(labelCol: str, featuresCol: str, **params) -> Estimator:
-    """One boosted model per class; MLlib boosts two classes at a time."""
+def _boosted(labelCol: str, featuresCol: str, parallelism: int = 4, **params) -> Estimator:
+    """One boosted model per class, ``parallelism`` of them at a time; MLlib boosts two classes at a time."""
     trees = GBTClassifier(labelCol=labelCol, featuresCol=featuresCol, **{**BOOSTED, **params})
-    return OneVsRest(classifier=trees, labelCol=labelCol, featuresCol=featuresCol)
+    return OneVsRest(classifier=trees, labelCol=labelCol, featuresCol=featuresCol, parallelism=parallelism)
 
 
 ESTIMATORS: dict[str, Callable[..., Estimator]] = {

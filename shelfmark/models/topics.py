@@ -27,15 +27,15 @@ def topic_tokens(df: DataFrame, text: str, out: str = "topicTokens") -> DataFram
 
 
 def fit_topics(
-    df: DataFrame, text: str, order: str, category: str = "cat1", cap: int = 20_000, vocab_size: int = 20_000,
+    df: DataFrame, text: str, order: str | None = None, category: str = "cat1", cap: int | None = None, vocab_size: int = 20_000,
     keep_counts: bool = False, **params,
 ) -> PipelineModel:
-    """Fit on a capped sample; each document also carries its category as a term.
+    """Fit on all documents, or on ``cap`` of each category; each document also carries its category as a term.
 
     By default a document is the set of its tokens, as published; ``keep_counts``
     trains on repeats as well.
     """
-    sample = topic_tokens(stratified_cap(df, [category], cap, order), text)
+    sample = topic_tokens(df if cap is None else stratified_cap(df, [category], cap, order), text)
     named = sample.withColumn("topicTokens", add_term(F.col("topicTokens"), F.col(category), keep_counts))
     # the optimiser reads its input once per iteration, so tokens and vectors are stored
     tokens = materialise(named.select("topicTokens"))

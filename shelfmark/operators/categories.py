@@ -113,13 +113,22 @@ def taxonomy_ancestors(taxonomy: DataFrame) -> DataFrame:
 def attach_category_ids(
     df: DataFrame, taxonomy: DataFrame, depth: int, path: str = "category"
 ) -> DataFrame:
-    """Add ``cat{i}_id``: the id of the first i levels of each row's path."""
-    ids = materialise(taxonomy.select(F.col("path").alias("__path"), F.col("id").alias("__id")))
-    out = df
-    for level in range(1, depth + 1):
-        named = ids.select(F.col("__path").alias("__key"), F.col("__id").alias(f"cat{level}_id"))
-        out = out.join(named, path_prefix(F.col(path), level) == F.col("__key"), "left").drop("__key")
-    return out
+    """Add ``cat{i}_id``: the id of the first i levels of each row's path.
+
+    The ids of all levels are looked up for distinct categories, and joined to the
+    rows once. Rows without a category take no part in the join.
+    """
+    ids = taxonomy.select(F.col("path").alias("prefix"), F.col("id").alias("__id"))
+    steps = df.select(F.col(path).alias("__path")).where("__path is not null").distinct()
+    levels = [F.struct(F.lit(i).alias("level"), path_prefix(F.col("__path"), i).alias("prefix")) for i in range(1, depth + 1)]
+    named = (
+        steps.select("__path", F.inline(F.array(*levels))).join(ids, "prefix")
+        .groupBy("__path").agg(*[F.max(F.when(F.col("level") == i, F.col("__id"))).alias(f"cat{i}_id") for i in range(1, depth + 1)])
+    )
+    names = [f"cat{i}_id" for i in range(1, depth + 1)]
+    none = [F.lit(None).cast(taxonomy.schema["id"].dataType).alias(c) for c in names]
+    known = df.where(F.col(path).isNotNull()).join(materialise(named), F.col(path) == F.col("__path"), "left").drop("__path")
+    return known.select(*df.columns, *names).unionByName(df.where(F.col(path).isNull()).select("*", *none))
 
 
 def class_index(frequencies: DataFrame, min_count: int, taxonomy: DataFrame | None = None) -> DataFrame:
@@ -137,13 +146,13 @@ def index_labels(
 ) -> DataFrame:
     """Add the class index of ``category``; rows without a class are dropped.
 
-    With ``num_classes`` the index column carries nominal metadata, which the tree
-    classifiers need beyond 100 classes.
+    The index column carries nominal metadata, which the tree classifiers need beyond
+    100 classes: ``num_classes`` values, by default as many as there are classes.
     """
     classes = materialise(class_index(frequencies, min_count, taxonomy))
     out = df.join(classes, "category")
     if num_classes is None:
-        return out
+        num_classes = max(1, classes.count())
     nominal = {"ml_attr": {"type": "nominal", "name": "target", "num_vals": num_classes}}
     return out.withColumn("target", F.col("target").alias("target", metadata=nominal))
 

@@ -48,8 +48,10 @@ def map_categories(df: DataFrame, mapping: DataFrame, col: str = "category", out
     Prefixes are made for distinct categories only; the resulting small table is
     written out, so the join back to the product rows has a known size.
     """
-    targets = materialise(category_targets(df, mapping, col))
-    return df.join(targets.withColumnRenamed("mapped", out), col, "left")
+    targets = materialise(category_targets(df, mapping, col)).withColumnRenamed("mapped", out)
+    # rows without a category would all meet on one key
+    known = df.where(F.col(col).isNotNull()).join(targets, col, "left")
+    return known.unionByName(df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast(targets.schema[out].dataType)))
 
 
 def mapping_sets(mapping: DataFrame) -> DataFrame:

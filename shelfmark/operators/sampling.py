@@ -6,7 +6,10 @@ digits cut every category into even slices. Slice counts say which slice holds a
 wanted rank, and only that slice is sorted to find the key at the rank. A sample is
 then a plain comparison with that key: no shuffle of the rows.
 
-``order`` always names such a key column: hexadecimal, unique within its group.
+``order`` names such a key column, hexadecimal. Equal keys and missing ones are exact as
+well: a missing key is made from the row's other columns, and among the rows whose key is
+the one at a wanted rank, as many are taken as the rank asks for, in the order of a hash
+of the whole row. Rows that are equal in every column stand in for each other.
 """
 
 from __future__ import annotations
@@ -23,6 +26,15 @@ SLICE_DIGITS = 3  # 4,096 slices per category
 BEFORE_ALL, AFTER_ALL = "", "g"  # no hexadecimal key sorts below or above these
 
 
+ORDER = "__order"
+
+
+def _ordered(df: DataFrame, order: str) -> DataFrame:
+    """The rows with a key that is never NULL."""
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn(ORDER, F.coalesce(F.col(order), F.md5(rest.cast("string"))))
+
+
 def _slice(key: str) -> Column:
     return F.substring(key, 1, SLICE_DIGITS)
 
@@ -54,7 +66,8 @@ def rank_keys(
     ``ranks`` maps output names to rank expressions over ``__total`` (rows in the
     group) and the columns of ``sizes``, an optional table joined on ``keys``. A rank
     below 1 gives a key before all rows, a rank past the end one after all rows, and
-    a NULL rank (no entry in ``sizes``) NULL.
+    a NULL rank (no entry in ``sizes``) NULL. ``<name>__need`` says how many of the rows
+    with exactly that key are up to the rank, and ``<name>__ties`` how many there are.
     """
     keys = list(keys)
     narrow = df.select(*keys, order)
@@ -80,21 +93,22 @@ def rank_keys(
         *[cut[k] for k in keys], cut[order], "__slice",
         *[f"{name}__{part}" for name in ranks for part in ("slice", "rank")],
     )
-    at = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(order))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(order)
+    taken = F.struct(F.col(order).alias("key"), (F.col("__at") - F.col("__first") + 1).alias("need"), "__ties")
     found = (
-        near.withColumn("__at", at)
+        near.withColumn("__at", F.row_number().over(inside)).withColumn("__first", F.rank().over(inside))
+        .withColumn("__ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__slice", order)))
         .groupBy(*keys)
         .agg(*[
-            F.max(F.when(
-                (F.col("__slice") == F.col(f"{name}__slice")) & (F.col("__at") == F.col(f"{name}__rank")),
-                F.col(order),
-            )).alias(f"{name}__key")
+            F.max(F.when((F.col("__slice") == F.col(f"{name}__slice")) & (F.col("__at") == F.col(f"{name}__rank")), taken)).alias(f"{name}__key")
             for name in ranks
         ])
     )
     table = bounds.join(found, _same(bounds, found, keys), "left").select(
         *[bounds[k] for k in keys],
-        *[F.coalesce(f"{name}__side", f"{name}__key").alias(name) for name in ranks],
+        *[F.coalesce(f"{name}__side", f"{name}__key.key").alias(name) for name in ranks],
+        *[F.coalesce(f"{name}__key.need", F.lit(0)).alias(f"{name}__need") for name in ranks],
+        *[F.coalesce(f"{name}__key.__ties", F.lit(0)).alias(f"{name}__ties") for name in ranks],
     )
     return materialise(table)
 
@@ -108,6 +122,29 @@ def _with_keys(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(table, cond)
 
 
+def _upto(df: DataFrame, keys: Sequence[str], order: str, ranks: dict[str, Column], sizes: DataFrame | None = None) -> DataFrame:
+    """The rows with one flag for each of ``ranks``: whether the row is among the first so many of its group."""
+    rows = _ordered(df, order)
+    marks = rank_keys(rows, keys, ORDER, ranks, sizes)
+    marked = _with_keys(rows, marks, keys)
+    key = F.col(ORDER)
+    open_ties = F.lit(False)
+    for name in ranks:
+        open_ties = open_ties | (F.col(f"{name}__need") < F.col(f"{name}__ties"))
+    if marks.where(open_ties).isEmpty():  # every key at a rank is taken whole
+        return marked.select(*df.columns, *[(key <= F.col(name)).alias(f"{name}__in") for name in ranks])
+    at = F.lit(False)
+    for name in ranks:
+        at = at | F.coalesce(key == F.col(name), F.lit(False))
+    plain = marked.where(~at).select(*df.columns, *[(key < F.col(name)).alias(f"{name}__in") for name in ranks])
+    # rows whose key is the one at a rank: all equal keys of a group are there
+    tied = marked.where(at).withColumn("__at", F.row_number().over(
+        Window.partitionBy(*keys, ORDER).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))))
+    tied = tied.select(*df.columns, *[
+        ((key < F.col(name)) | ((key == F.col(name)) & (F.col("__at") <= F.col(f"{name}__need")))).alias(f"{name}__in") for name in ranks])
+    return plain.unionByName(materialise(tied))
+
+
 def stratified_cap(df: DataFrame, keys: Sequence[str], n: int, order: str, sizes: DataFrame | None = None) -> DataFrame:
     """The first ``n`` rows of every group by ``order``.
 
@@ -117,8 +154,7 @@ def stratified_cap(df: DataFrame, keys: Sequence[str], n: int, order: str, sizes
     cap = F.lit(n).cast("bigint")
     if sizes is not None:
         cap = F.when(F.col("count").isNotNull(), F.least(F.col("count"), cap))
-    last = rank_keys(df, keys, order, {"__last": cap}, sizes)
-    return _with_keys(df, last, keys).where(F.col(order) <= F.col("__last")).select(*df.columns)
+    return _upto(df, keys, order, {"__last": cap}, sizes).where("__last__in").select(*df.columns)
 
 
 def stratified_split(
@@ -131,13 +167,10 @@ def stratified_split(
     """
     listed = F.col("count") if sizes is not None else F.col("__total")
     size = F.when(listed.isNotNull(), F.least(listed, F.lit(n).cast("bigint")))
-    cut = F.round(size * F.lit(frac)).cast("bigint")
-    marks = rank_keys(df, keys, order, {"__cut": cut, "__last": size}, sizes)
-    rows = _with_keys(df, marks, keys)
-    key = F.col(order)
-    train = rows.where(key < F.col("__cut"))
-    test = rows.where((key >= F.col("__cut")) & (key <= F.col("__last")))
-    return train.select(*df.columns), test.select(*df.columns)
+    before = F.round(size * F.lit(frac)).cast("bigint") - 1
+    rows = _upto(df, keys, order, {"__train": before, "__last": size}, sizes)
+    test = rows.where("__last__in and not __train__in")
+    return rows.where("__train__in").select(*df.columns), test.select(*df.columns)
 
 
 def split_by_top_category(
@@ -145,11 +178,10 @@ def split_by_top_category(
 ) -> tuple[DataFrame, DataFrame]:
     """Split by level 1: ranks up to round(min(size, n) * frac) train, then up to ``n`` test."""
     size = F.least(F.col("__total"), F.lit(n).cast("bigint"))
-    ranks = {"__cut": F.round(size * F.lit(frac)).cast("bigint"), "__last": F.lit(n).cast("bigint")}
-    rows = _with_keys(df, rank_keys(df, [key], order, ranks), [key])
-    train = rows.where(F.col(order) <= F.col("__cut"))
-    test = rows.where((F.col(order) > F.col("__cut")) & (F.col(order) <= F.col("__last")))
-    return train.select(*df.columns), test.select(*df.columns)
+    ranks = {"__train": F.round(size * F.lit(frac)).cast("bigint"), "__last": F.lit(n).cast("bigint")}
+    rows = _upto(df, [key], order, ranks)
+    test = rows.where("__last__in and not __train__in")
+    return rows.where("__train__in").select(*df.columns), test.select(*df.columns)
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn") -> DataFrame:
@@ -158,7 +190,8 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn") -
     Rows are shuffled once, by (keys, slice); the rows before each slice come from
     the slice counts, which are partitioned the same way.
     """
-    keys = list(keys)
+    keys, columns = list(keys), df.columns
+    df, order = _ordered(df, order), ORDER
     before = _slice_counts(df.select(*keys, order), keys, order)
     renamed = before.select(
         *[F.col(k).alias(f"__{k}") for k in keys], F.col("__slice").alias("__of"), "__before"
@@ -171,7 +204,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn") -
     return (
         cut.withColumn("__at", inside)
         .join(renamed, cond)
-        .select(*df.columns, (F.col("__before") + F.col("__at")).alias(out))
+        .select(*columns, (F.col("__before") + F.col("__at")).alias(out))
     )
 
 
@@ -189,7 +222,7 @@ def hierarchical_cap(df: DataFrame, n: int, depth: int, order: str) -> DataFrame
     rows are then ranked only inside their slice, all levels on one partitioning.
     """
     levels = level_names(depth)
-    filled = df.withColumns({f"__{c}": F.coalesce(c, F.lit("")) for c in levels}).withColumn("__slice", _slice(order))
+    filled = _ordered(df, order).withColumns({f"__{c}": F.coalesce(c, F.lit("")) for c in levels}).withColumn("__slice", _slice(ORDER))
     keys = [f"__{c}" for c in levels]
 
     room = filled.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__left"))
@@ -211,6 +244,6 @@ def hierarchical_cap(df: DataFrame, n: int, depth: int, order: str) -> DataFrame
     kept = kept.join(room, [*keys, "__slice"])
     kept = kept.repartition(keys[0], "__slice")
     for d in range(depth, 0, -1):
-        at = F.row_number().over(Window.partitionBy(*keys[:d], "__slice").orderBy(order))
+        at = F.row_number().over(Window.partitionBy(*keys[:d], "__slice").orderBy(ORDER))
         kept = kept.withColumn("__at", at).where(F.col("__at") <= F.col(f"__room{d}")).drop("__at")
     return kept.select(*df.columns)

@@ -39,10 +39,11 @@ def doc_freq(df: DataFrame, tokens: Column | str, out: str = "word") -> DataFram
     return counts_by(df.select(F.explode(F.array_distinct(tokens)).alias(out)), out)
 
 
-def top_k(freq: DataFrame, k: int, by: str = "count", word: str = "word", ascending: bool = False) -> DataFrame:
-    """The k first rows by ``by``, ties in word order."""
+def top_k(freq: DataFrame, k: int | None, by: str = "count", word: str = "word", ascending: bool = False) -> DataFrame:
+    """The k first rows by ``by``, ties in word order; without ``k`` all of them."""
     order = F.col(by).asc() if ascending else F.col(by).desc()
-    return freq.orderBy(order, F.col(word)).limit(k)
+    ranked = freq.orderBy(order, F.col(word))
+    return ranked if k is None else ranked.limit(k)
 
 
 def count_spectrum(freq: DataFrame, word: str = "word") -> DataFrame:
@@ -131,9 +132,12 @@ def information_gain(df: DataFrame, tokens: Column | str, category: Column | str
     absent half of the sum over all categories collapses, so only pairs that occur
     are ever built:  n * gain = sum_c [b ln(b/n_c) + (n_c-b) ln((n_c-b)/n_c)]
     + w ln(n/w) + (n-w) ln(n/(n-w)).
+
+    Rows without a category are left out altogether: they count in no sum.
     """
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     category = F.col(category) if isinstance(category, str) else category
+    df = df.where(category.isNotNull())
     totals = materialise(df.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("in_category")))
     size = totals.agg(F.sum("in_category")).scalar()
     pairs = counts_by(
@@ -173,18 +177,29 @@ def topk_overlap(gains: DataFrame, tops: Sequence[int] = OVERLAP_TOPS) -> DataFr
 
 
 def common_words_by_category(
-    df: DataFrame, tokens: Column | str, category: str, k: int = 19 * 50
+    df: DataFrame, tokens: Column | str, category: str, k: int | None = 19 * 50
 ) -> DataFrame:
     """The k most frequent (word, category) pairs among letters-only tokens."""
     pairs = df.select(category, F.explode(tokens).alias("word")).where(~is_odd(F.col("word")))
-    return counts_by(pairs, "word", category).orderBy(F.desc("count"), "word", category).limit(k)
+    ranked = counts_by(pairs, "word", category).orderBy(F.desc("count"), "word", category)
+    return ranked if k is None else ranked.limit(k)
+
+
+def price_counts(df: DataFrame, price: str, *by: str) -> DataFrame:
+    """Rows per price band, optionally per category."""
+    return counts_by(df.select(*by, price_bucket(F.col(price)).alias("price")), *by, "price")
+
+
+def price_shares(counts: DataFrame, *by: str) -> DataFrame:
+    """Percent of all rows in each price band, from ``price_counts`` by at least these keys."""
+    total = counts.agg(F.sum("count")).scalar()
+    summed = counts.groupBy(*by, "price").agg(F.sum("count").alias("count"))
+    return summed.select(*by, "price", F.round(F.col("count") / total * 100, 6).alias("fraction"))
 
 
 def price_distribution(df: DataFrame, price: str, *by: str) -> DataFrame:
     """Percent of all rows in each price band, optionally per category."""
-    counted = counts_by(df.select(*by, price_bucket(F.col(price)).alias("price")), *by, "price")
-    total = counted.agg(F.sum("count")).scalar()
-    return counted.select(*by, "price", F.round(F.col("count") / total * 100, 6).alias("fraction"))
+    return price_shares(price_counts(df, price, *by), *by)
 
 
 def shared_topic_terms(topics: DataFrame, n: int = 3, terms: str = "terms") -> DataFrame:

@@ -54,6 +54,7 @@ def filter_categories(
     return df.where(keep)
 
 
-def refresh_by_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Current rows for a table of keys."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+def refresh_by_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], category: str | None = None) -> DataFrame:
+    """Current rows for a table of keys; rows without the category, if one is named, are dropped."""
+    rows = df if category is None else df.where(F.col(category).isNotNull())
+    return rows.join(keys.select(*on), list(on), "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import level_names, path_depth
-from shelfmark.sources.tables import PRODUCT_FIELDS
+from shelfmark.sources.tables import NULL_FIELD, PRODUCT_FIELDS, escape_breaks
 
 
 def write_by_category(df: DataFrame, path: str, levels: int = 3, mode: str = "error") -> None:
@@ -32,9 +32,22 @@ def write_frequencies(df: DataFrame, path: str, key: str) -> None:
     ordered.coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
-def write_delimited(df: DataFrame, path: str, compression: str | None = None, mode: str = "overwrite", sep: str = ";") -> None:
-    """Delimited text with a header; quotes inside fields are doubled."""
+def write_delimited(
+    df: DataFrame, path: str, compression: str | None = None, mode: str = "overwrite", sep: str = ";", escaped: bool = False
+) -> None:
+    """Delimited text with a header; quotes inside fields are doubled.
+
+    With ``escaped`` any text comes back as it was from ``read_delimited(escaped=True)``:
+    line breaks and backslashes are escaped, so that each record is one line, and missing
+    fields differ from empty ones.
+    """
     writer = df.write.mode(mode).option("sep", sep).option("header", True).option("escape", '"')
+    if escaped:
+        texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+        df = df.withColumns({c: escape_breaks(F.col(f"`{c}`")) for c in texts})
+        writer = df.write.mode(mode).option("sep", sep).option("header", True).option("escape", '"')
+        writer = writer.option("nullValue", NULL_FIELD).option("emptyValue", '""').option("quoteAll", True)
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if compression:
         writer = writer.option("compression", compression)
     writer.csv(path)

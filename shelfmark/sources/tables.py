@@ -17,20 +17,23 @@ PRODUCT_FIELDS = (
 ).split()
 
 
+#: How a missing field is written where empty ones must stay empty.
+NULL_FIELD = "\\N"
+
+
 def read_products(spark: SparkSession, path: str, *cols: str | Column) -> DataFrame:
     """A Parquet product table; without columns, all of them."""
     table = spark.read.parquet(path)
     return table.select(*cols) if cols else table
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal out a bare scan that has fewer splits than there are cores.
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A scan dealt out to ``partitions`` tasks, where the caller asks for it; else as it is.
 
-    Meant before heavy work on texts that sit in a few large row groups; a table with
-    enough splits passes unchanged, without a shuffle.
+    Meant before heavy work on texts that sit in a few large row groups. It shuffles
+    whole rows, so it is never decided here.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if partitions is None else scan.repartition(partitions)
 
 
 def read_dump(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
@@ -38,17 +41,43 @@ def read_dump(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFr
     return spark.read.option("pathGlobFilter", glob).parquet(path)
 
 
+#: Written in place of line breaks and of itself, so that a record is one line and files can be split.
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def escape_breaks(text: Column) -> Column:
+    for plain, escaped in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
+def unescape_breaks(text: Column) -> Column:
+    """The inverse of ``escape_breaks``; pairs of backslashes are set aside first."""
+    text = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
+    for plain, escaped in ESCAPES[1:]:
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return F.replace(text, F.lit("\x00"), F.lit("\\"))
+
+
 def read_delimited(
-    spark: SparkSession, paths: str | Sequence[str], sep: str = ";", schema: str | None = None
+    spark: SparkSession, paths: str | Sequence[str], sep: str = ";", schema: str | None = None, multiline: bool = False, escaped: bool = False,
 ) -> DataFrame:
     """Delimited text with a header, all columns strings; gzip is told by the suffix.
 
+    Quotes inside fields are doubled. Line breaks in fields are read with ``multiline``
+    (such a file is one split) or, from files of ``write_delimited``, with ``escaped``.
     Give ``schema`` to skip the pass that reads the header.
     """
-    reader = spark.read.option("sep", sep).option("header", True)
+    reader = spark.read.option("sep", sep).option("header", True).option("escape", '"').option("multiLine", multiline)
+    if escaped:  # blanks and empty fields count there
+        reader = reader.option("nullValue", NULL_FIELD).option("emptyValue", "")
     if schema:
         reader = reader.schema(schema)
-    return reader.csv(paths if isinstance(paths, str) else list(paths))
+    table = reader.csv(paths if isinstance(paths, str) else list(paths))
+    if not escaped:
+        return table
+    texts = [f.name for f in table.schema.fields if f.dataType.typeName() == "string"]
+    return table.withColumns({c: unescape_breaks(F.col(f"`{c}`")) for c in texts})
 
 
 def read_training(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.stopwords import BIGRAM, remove_stop_words
@@ -17,6 +18,7 @@ from shelfmark.models.estimators import make_estimator
 from shelfmark.operators import vocabulary as V
 from shelfmark.operators.categories import class_index, label_counts
 from shelfmark.operators.evaluation import class_names, confidence_sweep
+from shelfmark.operators.sampling import stratified_folds
 from shelfmark.operators.sizing import materialise
 from shelfmark.plans import product_table as P
 from shelfmark.plans.evaluate import evaluation_reports
@@ -129,18 +131,20 @@ VOCABULARY = 500
 @query(
     "count_vector_vocabulary",
     f"""WITH {NORM}, freq AS (SELECT word, count(*) AS count FROM (SELECT unnest(tokens) AS word FROM norm) GROUP BY 1)
-    SELECT count AS occurrences FROM freq ORDER BY count DESC, word LIMIT {VOCABULARY}""",
+    SELECT word, count AS occurrences FROM freq WHERE count > (SELECT min(count) FROM (SELECT count FROM freq ORDER BY count DESC LIMIT {VOCABULARY}))""",
 )
 def count_vector_vocabulary(spark, sf):
-    """Occurrences of the words that the vectoriser keeps, summed from its vectors."""
+    """Words that the vectoriser keeps, with their occurrences, summed from its vectors; its choice among the rarest is open."""
     rows = docs(spark, sf).select("id", product_tokens(F.col("text")).alias("textTokens"))
     model = stages.count_vectors("text", VOCABULARY).fit(rows)
     counted = model.transform(rows).select(F.posexplode(vector_to_array("textVector")).alias("term", "n"))
-    return counted.groupBy("term").agg(F.sum("n").cast("bigint").alias("occurrences")).select("occurrences")
+    words = spark.createDataFrame(list(enumerate(model.vocabulary)), "term int, word string")
+    summed = counted.groupBy("term").agg(F.sum("n").cast("bigint").alias("occurrences")).join(words, "term")
+    return summed.where(F.col("occurrences") > summed.agg(F.min("occurrences")).scalar()).select("word", "occurrences")
 
 
 @query("bigram_stage", f"""WITH {NORM}, kept AS (SELECT id, {without('tokens', BIGRAM, False)} AS k FROM norm)
-    SELECT id, greatest(len(k) - 1, 0) AS pairs FROM kept""")
+    SELECT id, array_to_string(list_transform(range(1, len(k)), lambda i: array_to_string(list_sort([k[i], k[i + 1]]), ' ')), '|') AS pairs FROM kept""")
 def bigram_stage(spark, sf):
     """Tokenizer and n-gram stages saved with their pipeline, loaded and run."""
     tokenizer = stages.product_tokenizer("text")
@@ -150,13 +154,17 @@ def bigram_stage(spark, sf):
     tokenizer, grams = PipelineModel.load(path).stages
     tokens = tokenizer.transform(docs(spark, sf).select("id", "text"))
     kept = tokens.withColumn("keptTokens", remove_stop_words(F.col("textTokens"), BIGRAM, case_sensitive=True))
-    return grams.transform(kept).select("id", F.size("pairs").cast("bigint").alias("pairs"))
+    return grams.transform(kept).select("id", F.array_join("pairs", "|").alias("pairs"))
 
 
 EMBEDDING = {"vectorSize": 16, "windowSize": 5, "minCount": 5, "maxIter": 1, "numPartitions": 4, "seed": 7}
 
 
-@query("word_embedding")
+@query(
+    "word_embedding",
+    f"""WITH {NORM} SELECT word, 'maxIter=1_maxSentenceLength=1000_minCount=5_stepSize=0.025_vectorSize=16_windowSize=5' AS key
+    FROM (SELECT unnest(tokens) AS word FROM norm) GROUP BY 1 HAVING count(*) >= {EMBEDDING["minCount"]}""",
+)
 def word_embedding(spark, sf):
     """Train, store under the parameter key, load by the same parameters."""
     spec, model = embeddings.train_word2vec(docs(spark, sf), "text", **EMBEDDING)
@@ -264,7 +272,7 @@ TOPIC_SETTINGS = dict(k=4, maxIter=5, subsamplingRate=0.2, seed=7)
 
 
 def _topics(spark, sf):
-    return topics.fit_topics(_documents(spark, sf), "text", "key", cap=200, vocab_size=1000, **TOPIC_SETTINGS)
+    return topics.fit_topics(_documents(spark, sf), "text", vocab_size=1000, **TOPIC_SETTINGS)
 
 
 @query("topic_terms")
@@ -283,6 +291,79 @@ def topic_shared_terms(spark, sf):
     return V.shared_topic_terms(topics.describe_topics(_topics(spark, sf), 25), 2)
 
 
+@query(
+    "shared_terms",
+    f"""WITH {NORM}, ranked AS (SELECT cat1, word, row_number() OVER (PARTITION BY cat1 ORDER BY count(*) DESC, word) AS rn
+      FROM (SELECT d.lang AS cat1, unnest(tokens) AS word FROM norm JOIN documents d ON d.doc_id = norm.id) GROUP BY cat1, word)
+    SELECT word AS term, count(*) AS count FROM ranked WHERE rn <= 40 GROUP BY word HAVING count(*) >= 2""",
+)
+def shared_terms(spark, sf):
+    """Terms that at least two languages have among their 40 commonest words, counted like the terms of topics."""
+    tokens = docs(spark, sf).select("cat1", F.explode(product_tokens(F.col("text"))).alias("word"))
+    rank = F.row_number().over(Window.partitionBy("cat1").orderBy(F.desc("count"), "word"))
+    heaviest = V.counts_by(tokens, "cat1", "word").withColumn("rn", rank).where("rn <= 40")
+    return V.shared_topic_terms(heaviest.groupBy("cat1").agg(F.collect_list("word").alias("terms")), 2)
+
+
+SPLIT = f"""sized AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+ranked AS (SELECT doc_id AS id, lang, n, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('doc_id')}) AS rn FROM documents JOIN sized USING (lang)),
+parts AS (SELECT id, lang, CASE WHEN rn < round(n * 0.75) THEN 'train' ELSE 'test' END AS part FROM ranked)"""
+
+
+@query(
+    "classifiers_checked",
+    f"WITH {SPLIT} SELECT kind, part, count(*) AS rows, true AS above_majority FROM parts, (VALUES ('logistic'), ('naive_bayes'), ('tree')) k(kind) GROUP BY ALL",
+)
+def classifiers_checked(spark, sf):
+    """For three classifiers: rows of each part, and whether more of them are right than the commonest language has."""
+    out = None
+    for kind in ("logistic", "naive_bayes", "tree"):
+        model, vectors, test = _fit(spark, sf, kind)
+        both = model.stages[-1].transform(vectors).select("target", "prediction", F.lit("train").alias("part")).unionByName(
+            model.transform(test).select("target", "prediction", F.lit("test").alias("part")))
+        rows = both.groupBy("part", "target").agg(F.count("*").alias("n"), F.count_if(F.col("target") == F.col("prediction")).alias("hits"))
+        checked = rows.groupBy("part").agg(F.sum("n").alias("rows"), (F.sum("hits") > F.max("n")).alias("above_majority"))
+        checked = checked.select(F.lit(kind).alias("kind"), "part", "rows", "above_majority")
+        out = checked if out is None else out.unionByName(checked)
+    return out
+
+
+@query("scores_checked", "SELECT doc_id AS id, lang AS actual, true AS known FROM documents")
+def scores_checked(spark, sf):
+    """Every document is scored, and its prediction is a language of the tables."""
+    known = table(spark, sf, "documents").select(F.col("lang").alias("prediction"), F.lit(True).alias("known")).distinct()
+    scored = classifier_scores(spark, sf).join(known, "prediction", "left")
+    return scored.select("id", "actual", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(
+    "folds_checked",
+    f"""WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('doc_id')}) AS rn FROM documents),
+    f AS (SELECT CAST((rn - 1) % 3 AS INTEGER) AS fold, count(*) AS n FROM r GROUP BY 1)
+    SELECT fold, 'test' AS part, n AS rows FROM f UNION ALL SELECT fold, 'train', (SELECT count(*) FROM documents) - n FROM f""",
+)
+def folds_checked(spark, sf):
+    """How many rows each fold of the cross-validation trains and tests on."""
+    train, test = _split(spark, sf)
+    folds = stratified_folds(train.unionByName(test), "target", 3, "key")
+    n = folds.groupBy("fold").agg(F.count("*").alias("rows"))
+    everything = n.agg(F.sum("rows")).scalar()
+    tests = n.select("fold", F.lit("test").alias("part"), "rows")
+    return tests.unionByName(n.select("fold", F.lit("train").alias("part"), (everything - F.col("rows")).alias("rows")))
+
+
+@query("topics_checked", "SELECT 4 AS topics, 25 AS terms, count(*) AS documents, true AS shares_sum FROM documents")
+def topics_checked(spark, sf):
+    """The topic model has all topics and terms, and shares that sum to one for all documents with a word it knows."""
+    model = _topics(spark, sf)
+    described = topics.describe_topics(model, 25).agg(F.count("*").cast("int").alias("topics"), F.min(F.size("terms")).alias("terms"))
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    shares = topics.topic_distribution(model, _documents(spark, sf), "text", "id")
+    fine = F.bool_and((F.abs(total - 1) <= 0.03) | (total == 0))
+    checked = shares.agg(F.count("*").alias("documents"), fine.alias("shares_sum"))
+    return described.select("*", checked.select("documents").scalar().alias("documents"), checked.select("shares_sum").scalar().alias("shares_sum"))
+
+
 @query("topic_shares")
 def topic_shares(spark, sf):
     shares = topics.topic_distribution(_topics(spark, sf), _documents(spark, sf), "text", "id")

@@ -281,47 +281,51 @@ def sorted_trigrams(spark, sf):
     return plain.select("id", F.array_join("tokens", "|").alias("tokens"))
 
 
-ALL = 1_000_000  # a cap no category of the test tables reaches
-
-
 @query("bigram_profile_common", f"WITH {BIGRAMS}, {BIGRAM_FREQ} SELECT * FROM freq ORDER BY count DESC, bigram LIMIT 1000")
 def bigram_profile_common(spark, sf):
-    return P.bigram_profile(keyed(docs(spark, sf)), "text", "key", ALL)["most_common"]
+    return P.bigram_profile(docs(spark, sf), "text")["most_common"]
 
 
 @query("bigram_profile_bands", f"WITH {BIGRAMS}, {BIGRAM_FREQ} {bands_sql('freq', V.WORD_BANDS, V.WORD_TOPS, True, 'bigram')}")
 def bigram_profile_bands(spark, sf):
-    return P.bigram_profile(keyed(docs(spark, sf)), "text", "key", ALL)["bands"]
+    return P.bigram_profile(docs(spark, sf), "text")["bands"]
 
 
-def _sampled(n: int, by: str, source: str = "docs") -> str:
-    return f"""sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {key_sql()}) AS rn FROM {source}) WHERE rn <= {n})"""
+@query("word_profile_bands", f"WITH {NORM}, {DF} {bands_sql('freq', V.WORD_BANDS, V.WORD_TOPS, True)}")
+def word_profile_bands(spark, sf):
+    return P.word_profile(docs(spark, sf), "text")["bands"]
 
 
-SAMPLE_NORM = f"{DOCS}, {_sampled(5, 'cat1, cat2')}, {normalised('sampled', 'text', 'id, cat1')}"
+@query("word_profile_common", f"WITH {NORM}, {DF} SELECT * FROM freq ORDER BY count DESC, word LIMIT 200")
+def word_profile_common(spark, sf):
+    return P.word_profile(docs(spark, sf), "text")["most_common"]
 
 
-@query("word_profile_bands", f"WITH {SAMPLE_NORM}, {DF} {bands_sql('freq', V.WORD_BANDS, V.WORD_TOPS, True)}")
-def word_profile_bands(spark, sf):
-    """Word statistics of a sample capped at five documents per category."""
-    return P.word_profile(keyed(docs(spark, sf)), "text", "key", 5)["bands"]
+@query("word_profile_odd", f"WITH {NORM}, {DF} SELECT * FROM freq WHERE NOT regexp_matches(word, '\\A[a-zA-Z]*\\z') AND NOT contains(word, '<')")
+def word_profile_odd(spark, sf):
+    """All odd words: a report without a length."""
+    return P.word_profile(docs(spark, sf), "text", k=None)["odd_common"]
 
 
-@query("word_profile_common", f"WITH {SAMPLE_NORM}, {DF} SELECT * FROM freq ORDER BY count DESC, word LIMIT 200")
-def word_profile_common(spark, sf):
-    return P.word_profile(keyed(docs(spark, sf)), "text", "key", 5)["most_common"]
+DICTIONARY_FREQ = f"""WITH d AS (SELECT doc_id AS id, lang AS cat1, concat_ws(' ', source, text) AS text FROM documents),
+    {normalised('d', 'text', 'id')},
+    kept AS (SELECT list_filter({without('tokens', stopwords.DICTIONARY)}, lambda t: NOT regexp_matches(lower(t), '{NOISE}')) AS tokens FROM norm),
+    freq AS (SELECT word, count(*) AS count FROM (SELECT unnest(tokens) AS word FROM kept) GROUP BY 1)"""
 
 
-@query(
-    "dictionary",
-    f"""WITH d AS (SELECT doc_id AS id, lang AS cat1, concat_ws(' ', source, text) AS text FROM documents),
-    {_sampled(150, 'cat1', 'd')}, {normalised('sampled', 'text', 'id')},
-    kept AS (SELECT list_filter({without('tokens', stopwords.DICTIONARY)}, lambda t: NOT regexp_matches(lower(t), '{NOISE}')) AS tokens FROM norm)
-    SELECT word, count(*) AS count FROM (SELECT unnest(tokens) AS word FROM kept) GROUP BY 1""",
-)
+@query("dictionary", f"{DICTIONARY_FREQ} SELECT * FROM freq")
 def dictionary(spark, sf):
-    """Dictionary of a sample of 150 documents per language."""
-    return P.dictionary(keyed(docs(spark, sf)), ["cat2", "text"], "key", 150)
+    return P.dictionary(docs(spark, sf), ["cat2", "text"])
+
+
+@query("dictionary_bands", f"{DICTIONARY_FREQ} {bands_sql('freq', V.WORD_BANDS, (), True)}")
+def dictionary_bands(spark, sf):
+    return P.dictionary_profile(docs(spark, sf), ["cat2", "text"])["bands"]
+
+
+@query("dictionary_measurements", f"{DICTIONARY_FREQ} SELECT * FROM freq WHERE regexp_matches(word, '\\A<.*>\\z')")
+def dictionary_measurements(spark, sf):
+    return P.dictionary_profile(docs(spark, sf), ["cat2", "text"], k=None)["measurements"]
 
 
 @query("manufacturer_profile", f"WITH {PARTS}, freq AS (SELECT lower(manufacturer) AS word, count(*) AS count FROM parts GROUP BY 1) {bands_sql('freq', V.MAKER_BANDS, (), False)}")
