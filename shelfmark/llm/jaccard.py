@@ -80,7 +80,8 @@ def _describe(width: int):
 
 
 def _bits(n: int) -> int:
-    return max(64, 1 << max(0, n - 1).bit_length())
+    """Bits of a set's bitmap: four to eight a shingle, so that few differences hide behind shared bits."""
+    return max(256, 4 << max(0, n - 1).bit_length())
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:

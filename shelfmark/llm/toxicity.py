@@ -37,13 +37,13 @@ from shelfmark.llm.tables import fold, free_name
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
 WINDOW_WORDS = 16
-SAMPLE, CALIBRATE = 2_000, 6_000
+SAMPLE, CALIBRATE = 2_000, 4_000
 DICTIONARY_BYTES = 4 << 10
 GAINS = (1, 2, 3, 4, 5, 7)
 LEVEL = 3
 #: Lengths of the byte sequences that the toxic dictionary is made of, and when one counts: in so many toxic texts, so many
 #: times as often as in ordinary ones, and by chance with a probability of e^-EVIDENCE at most (there are millions of them).
-PIECES, MAX_WORD = (4, 5, 6, 7, 8, 9), 64
+PIECES, MAX_WORD, SLOTS = (4, 5, 6, 7, 8, 9), 64, 1 << 23
 LEAST_TEXTS, TIMES, EVIDENCE = 4, 5, 20.0
 
 
@@ -145,22 +145,35 @@ def toxic_content(ordinary: list[str], toxic: list[str]) -> list[bytes]:
     Counted once a text. Everything else in toxic texts is ordinary and would only make the two dictionaries alike.
     """
     words_of = lambda t: set(t.encode().lower().split())
-    pieces = {w: _pieces(w) for t in (*ordinary, *toxic) for w in words_of(t)}
-    usual, here = Counter(), Counter()
-    for texts, counts in ((ordinary, usual), (toxic, here)):
-        for t in texts:
-            counts.update(set().union(*(pieces[w].keys() for w in words_of(t))))
+    # texts per slot of a table of fixed size first, as most pieces are in one text only
+    slots = np.zeros(SLOTS, np.uint16)
+    for t in toxic:
+        slots[np.unique(np.fromiter((hash(p) % SLOTS for w in words_of(t) for p in _pieces(w)), np.int64))] += 1
+    likely = (slots >= LEAST_TEXTS).tobytes()
+    here: Counter[bytes] = Counter()
+    for t in toxic:
+        here.update({p for w in words_of(t) for p in _pieces(w) if likely[hash(p) % SLOTS]})
+    here = Counter({p: n for p, n in here.items() if n >= LEAST_TEXTS})
+    usual: Counter[bytes] = Counter()
+    known: dict[bytes, list[bytes]] = {}  # of each ordinary word, the few pieces that toxic texts have as well
+    for t in ordinary:
+        own: set[bytes] = set()
+        for w in words_of(t):
+            if w not in known:
+                known[w] = [p for p in _pieces(w) if p in here]
+            own.update(known[w])
+        usual.update(own)
 
     def tells(piece: bytes, n: int) -> bool:
         expected = (usual[piece] + 0.5) * len(toxic) / len(ordinary)
         return n >= max(LEAST_TEXTS, TIMES * expected) and n * math.log(n / expected) - (n - expected) >= EVIDENCE
 
-    telling = {p for p, n in here.items() if n >= LEAST_TEXTS and tells(p, n)}
+    telling = {p for p, n in here.items() if tells(p, n)}
     stretches: Counter[bytes] = Counter()
     for t in toxic:
         own = set()
         for w in words_of(t):
-            at = sorted((i, i + len(p)) for p, i in pieces[w].items() if p in telling)
+            at = sorted((i, i + len(p)) for p, i in _pieces(w).items() if p in telling)
             if at:  # from the first telling piece as long as they overlap
                 a, b = at[0]
                 for i, j in at:

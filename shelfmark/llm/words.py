@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a slice of its own.
-SLICE = 2 << 20
+SLICE = 512 << 10
 SHINGLE = 5
 
 _BASE = 0x9E3779B97F4A7C15
