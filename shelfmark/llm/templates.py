@@ -78,7 +78,8 @@ def dropped_lines(
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents with recurring lines taken out of their texts; all rows and columns stay."""
     key, dropped, words = (free_name(docs, c) for c in ("text_key", "dropped", "words"))
-    found = materialise(dropped_lines(docs, text_col, **options)).toDF(key, dropped, words)
+    # texts are dealt out by their key once, at any size, and not sorted; the hashed side has only line numbers
+    found = materialise(dropped_lines(docs, text_col, **options)).toDF(key, dropped, words).hint("shuffle_hash")
     text = F.col(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(dropped), i)), "\n")
     carrier = F.col(dropped).isNotNull() & (2 * F.col(words) <= word_count(text))
