@@ -26,8 +26,8 @@ WEAK = ["secret", "identity", "endpoint"]
 # The base patterns. A run of at least 16 (or 4 + 14) is the same as a run of any length kept if it is that long.
 PATTERNS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2),
-    "access": (r"AKIA[A-Z0-9]{14,}", 0),
-    "hex": (r"[0-9a-f]{16,}", 0),
+    "access": (r"AKIA[A-Z0-9]{14,}+", 0),
+    "hex": (r"[0-9a-f]{16,}+", 0),
 }
 WEAK_PATTERNS = {
     "secret": (r"[A-Za-z0-9+/_-]{20,}={0,2}", 0),
