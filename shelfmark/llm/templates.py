@@ -98,10 +98,10 @@ m AS (SELECT text, pos, tokens, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>'
 l AS (SELECT *, len(tokens) AS n, masked[1:4] AS head FROM m),
 held AS (SELECT l.* FROM l JOIN (SELECT n, head FROM l GROUP BY n, head HAVING count(DISTINCT text) >= 10) USING (n, head)),
 votes AS (SELECT n, head, masked, count(*) AS votes FROM (SELECT DISTINCT n, head, text, masked FROM held) GROUP BY ALL),
-at AS (SELECT n, head, unnest(masked) AS token, unnest(range(len(masked))) AS place, votes FROM votes),
+spots AS (SELECT n, head, unnest(masked) AS token, unnest(range(len(masked))) AS place, votes FROM votes),
 most AS (
   SELECT n, head, place, max({'v': votes, 't': token}) AS top, sum(votes) AS everyone
-  FROM (SELECT n, head, place, token, sum(votes) AS votes FROM at GROUP BY ALL) GROUP BY n, head, place),
+  FROM (SELECT n, head, place, token, sum(votes) AS votes FROM spots GROUP BY ALL) GROUP BY n, head, place),
 tpl AS (
   SELECT n, head, list(CASE WHEN 2 * top.v >= everyone AND top.t <> '<*>' THEN top.t END ORDER BY place) AS template
   FROM most GROUP BY n, head),
