@@ -23,6 +23,7 @@ HEADLINE = (
     "product_tokens", "normalised_tokens", "document_frequency", "term_frequency", "vocabulary_bands", "rank_share",
     "information_gain", "top_word_overlap", "common_words_by_category", "bigram_profile_common", "dictionary",
     "price_distribution_by_category", "level_accuracy", "confidence_sweep", "confused_by_count", "measurements",
+    "word_profile_common", "dictionary_bands", "demographics_profile", "category_ids", "word_embedding", "classifier_tree", "topics_checked",
 )
 
 
