@@ -43,4 +43,12 @@ def scratch_path(spark: SparkSession) -> str:
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="shelfmark-")
         base = _local_scratch
-    return f"{base.rstrip('/')}/shelfmark/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/shelfmark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it when its results are written."""
+    path = scratch_path(spark).rsplit("/", 1)[0]
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

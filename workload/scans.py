@@ -8,7 +8,7 @@ from shelfmark.functions.paths import SEPARATOR
 from shelfmark.operators.attributes import expand_groups, parse_attributes, split_levels
 from shelfmark.operators.categories import capped_frequencies, category_counts, label_counts
 from shelfmark.operators.evaluation import join_curated
-from shelfmark.operators.sampling import stratified_split
+from shelfmark.operators.sampling import stratified_cap, stratified_split
 from shelfmark.session import scratch_path
 from shelfmark.sources import catalog, sinks, tables, taxonomy
 from workload.bindings import (
@@ -278,8 +278,8 @@ def write_by_category(spark, sf):
     f"""WITH {GEO}, ranked AS (
       SELECT *, row_number() OVER (PARTITION BY category ORDER BY {key_sql()}) AS rn, count(*) OVER (PARTITION BY category) AS size
       FROM geo), parts_ AS (
-      SELECT cat1, CASE WHEN rn < round(size * 0.9) THEN 'train' ELSE 'test' END AS part FROM ranked)
-    SELECT cat1, part, count(*) AS count FROM parts_ GROUP BY ALL""",
+      SELECT id, cat1, CASE WHEN rn < round(size * 0.9) THEN 'train' ELSE 'test' END AS part FROM ranked)
+    SELECT id, cat1, part FROM parts_""",
 )
 def write_split(spark, sf):
     path = scratch_path(spark)
@@ -288,9 +288,31 @@ def write_split(spark, sf):
     sinks.write_split(train.drop("key"), test.drop("key"), path)
     both = tables.read_products(spark, f"{path}/train").withColumn("part", F.lit("train")).unionByName(
         tables.read_products(spark, f"{path}/test").withColumn("part", F.lit("test")))
-    return both.groupBy("cat1", "part").count()
+    return both.select("id", "cat1", "part")
 
 
+@query("delimited_lossless", "SELECT doc_id, md5(text) AS digest FROM documents UNION ALL SELECT -1 - page_id, md5(html) FROM pages")
+def delimited_lossless(spark, sf):
+    """Whole texts and pages written as delimited files and read back, line breaks and quotes included."""
+    path = scratch_path(spark)
+    texts = table(spark, sf, "documents").select("doc_id", "text").unionByName(
+        table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
+    sinks.write_delimited(texts, path, escaped=True)
+    back = tables.read_delimited(spark, path, schema="doc_id long, text string", escaped=True)
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    "capped_sample_ties",
+    """WITH r AS (SELECT l_returnflag, l_orderkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(concat(CAST(l_orderkey AS VARCHAR), ':s1'))) AS rn
+      FROM lineitem)
+    SELECT l_returnflag, l_orderkey, count(*) AS rows FROM r WHERE rn <= 1001 GROUP BY ALL""",
+)
+def capped_sample_ties(spark, sf):
+    """Line items keyed by their order alone: several share a key, and the cap is exact all the same."""
+    rows = keyed(table(spark, sf, "lineitem"), "l_orderkey")
+    return stratified_cap(rows, ["l_returnflag"], 1001, "key").groupBy("l_returnflag", "l_orderkey").agg(F.count(F.lit(1)).alias("rows"))
+
 @query("write_frequencies", f"WITH {COUNTS} SELECT category, CAST(count AS VARCHAR) AS count FROM counts")
 def write_frequencies(spark, sf):
     path = scratch_path(spark)

@@ -386,6 +386,47 @@ def plain_word_profile(spark, sf):
     return P.plain_word_profile(docs(spark, sf), F.col("text"), stopwords.EMPIRICAL)["most_common"]
 
 
+DIMENSIONS = """CASE l_linenumber % 4 WHEN 0 THEN '<3d_float_cm>' WHEN 1 THEN '<2d_int_inch>' WHEN 2 THEN '<3d_int_cm>' ELSE '<2d_float_cm>' END"""
+
+
+def _dimensions(spark, sf):
+    """Quantities written the way product texts write dimensions."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    kind = F.col("l_linenumber") % 4
+    token = (
+        F.when(kind == 0, F.concat(q, F.lit(".5x"), q, F.lit(".25x4.75cm"))).when(kind == 1, F.concat(q, F.lit("*"), q, F.lit("in")))
+        .when(kind == 2, F.concat(q, F.lit("x2x"), q, F.lit("cm"))).otherwise(F.concat(q, F.lit(".5x"), q, F.lit(".25cm")))
+    )
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", token.alias("token"))
+
+
+@query("dimensions", f"SELECT l_orderkey, l_linenumber, l_partkey, {DIMENSIONS} AS shown FROM lineitem")
+def dimensions(spark, sf):
+    from shelfmark.functions.measures import measurement
+
+    return _dimensions(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", measurement(F.col("token")).alias("shown"))
+
+
+@query("placeholder_tokens", "SELECT CASE l_linenumber % 2 WHEN 1 THEN '<2d_int_inch>' ELSE '<int_cm>' END AS word, count(*) AS count FROM lineitem GROUP BY 1")
+def placeholder_tokens(spark, sf):
+    """Placeholders that follow the measurements of a text, counted as dictionary words."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    size = F.when(F.col("l_linenumber") % 2 == 1, F.concat(q, F.lit("*"), q, F.lit("in"))).otherwise(F.concat(q, F.lit("cm")))
+    texts = table(spark, sf, "lineitem").select(T.product_tokens(F.concat(F.lit("size "), size), emit="placeholder").alias("tokens"))
+    return V.placeholder_tokens(V.term_freq(texts, "tokens"))
+
+
+@query(
+    "information_gain_missing",
+    f"""WITH {NORM}, c AS (SELECT n.id, n.tokens, CASE WHEN n.id % 5 > 0 THEN d.lang END AS category FROM norm n JOIN documents d ON d.doc_id = n.id)
+    SELECT word, count(*) AS count FROM (SELECT unnest(list_distinct(tokens)) AS word FROM c WHERE category IS NOT NULL) GROUP BY 1""",
+)
+def information_gain_missing(spark, sf):
+    """Every fifth document lacks its category: it counts in no sum."""
+    rows = docs(spark, sf).select(F.when(F.col("id") % 5 > 0, F.col("cat1")).alias("category"), T.product_tokens(F.col("text")).alias("tokens"))
+    return V.information_gain(rows, "tokens").select("word", "count")
+
+
 @query(
     "measurements",
     """SELECT l_orderkey, l_linenumber, l_partkey, '<' || CASE WHEN l_linenumber IN (1, 4) THEN 'float' ELSE 'int' END
