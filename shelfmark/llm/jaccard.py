@@ -350,7 +350,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max(rank == F.col("first")).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1")
     ).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("stays").alias("__stays"))
     keyed = docs.withColumn("__text_key", F.xxhash64(text_col))
+    # most documents are in no group: a bitmap of fixed size tells which ones need to be looked up
+    bit = lambda doc_id, key: F.pmod(F.xxhash64(doc_id, key), F.lit(FILTER_BITS))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__bit") % 32).cast("int"))
+    bits = (
+        grouped.withColumn("__bit", bit("__id", "__key")).groupBy(F.floor(F.col("__bit") / 32).alias("__word")).agg(F.bit_or(mask).alias("__bits"))
+    )
+    looked_at = keyed.withColumn("__bit", bit(F.col(id_col).cast("long"), F.col("__text_key"))).withColumn("__of", F.floor(F.col("__bit") / 32))
+    looked_at = looked_at.join(F.broadcast(materialise(bits)), F.col("__of") == F.col("__word"), "left")  # at most FILTER_BITS / 32 rows
+    marked = F.coalesce(F.col("__bits").bitwiseAND(mask) != 0, F.lit(False))
+    suspects = looked_at.where(marked).select(*docs.columns, "__text_key")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    alone = keyed.join(grouped, same, "left_anti")
-    repeated = keyed.join(grouped.where("__stays"), same, "left_semi").dropDuplicates([id_col, "__text_key"])
-    return alone.unionByName(repeated).drop("__text_key")
+    alone = suspects.join(grouped, same, "left_anti")
+    repeated = suspects.join(grouped.where("__stays"), same, "left_semi").dropDuplicates([id_col, "__text_key"])
+    return looked_at.where(~marked).select(*docs.columns).unionByName(alone.unionByName(repeated).drop("__text_key"))
