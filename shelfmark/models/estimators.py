@@ -15,6 +15,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 
+from shelfmark.models.boosting import SoftmaxBoosting
+
 # Settings of the boosted trees.
 BOOSTED = {"maxDepth": 6, "maxBins": 32, "maxIter": 10}
 
@@ -23,7 +25,12 @@ def _mlp(**params) -> Estimator:
     return MultilayerPerceptronClassifier(solver="gd", **params)
 
 
-def _boosted(labelCol: str, featuresCol: str, parallelism: int = 4, **params) -> Estimator:
+def _boosted(**params) -> Estimator:
+    """All classes boosted together on the softmax loss."""
+    return SoftmaxBoosting(**{**BOOSTED, **params})
+
+
+def _boosted_apart(labelCol: str, featuresCol: str, parallelism: int = 4, **params) -> Estimator:
     """One boosted model per class, ``parallelism`` of them at a time; MLlib boosts two classes at a time."""
     trees = GBTClassifier(labelCol=labelCol, featuresCol=featuresCol, **{**BOOSTED, **params})
     return OneVsRest(classifier=trees, labelCol=labelCol, featuresCol=featuresCol, parallelism=parallelism)
@@ -36,6 +43,7 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "tree": DecisionTreeClassifier,
     "forest": RandomForestClassifier,
     "boosted": _boosted,
+    "boosted_apart": _boosted_apart,
 }
 
 

@@ -199,7 +199,7 @@ CLASSIFIERS = {
     "naive_bayes": dict(modelType="gaussian"),
     "tree": dict(maxDepth=5, maxBins=32, seed=7),
     "forest": dict(maxDepth=5, maxBins=32, numTrees=10, seed=7),
-    "boosted": dict(maxIter=3, maxDepth=3, seed=7),
+    "boosted": dict(maxIter=3, maxDepth=3),
 }
 
 
