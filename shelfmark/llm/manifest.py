@@ -262,8 +262,8 @@ def proofs(manifest: Manifest, key: str, changed: str) -> DataFrame:
     tops = with_paths(manifest.top, manifest.top.roots().select("tree", empty.alias("above")))
     above = materialise(_paths_down(tops, "child").drop("block"))
     blocks = with_paths(manifest.groups, above)
-    roots = materialise(manifest.groups.roots().withColumnRenamed("digest", "subroot").join(
-        manifest.top.roots().select(F.col("digest").alias("root")), how="left", on=F.lit(True)))
+    subroots = materialise(manifest.groups.roots().withColumnRenamed("digest", "subroot"))
+    root = next((r["digest"] for r in manifest.top.roots().collect()), None)  # one row, none for an empty table
 
     def run(batches):
         for batch in batches:
@@ -284,11 +284,11 @@ def proofs(manifest: Manifest, key: str, changed: str) -> DataFrame:
                         folded.append(node.decode())
                 yield pa.record_batch([
                     pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array([x.decode() for x in leaves]),
-                    pa.array([row["subroot"]] * n, pa.string()), pa.array([row["root"]] * n, pa.string()), pa.array(proof), pa.array(folded),
+                    pa.array([row["subroot"]] * n, pa.string()), pa.array([root] * n, pa.string()), pa.array(proof), pa.array(folded),
                 ], names=["key", "leaf", "subroot", "root", "proof_sha256", "folded_root"])
 
     kind = manifest.groups.rounds[0].schema[key].dataType.elementType.simpleString()
-    found = blocks.select("tree", "leaves", "height", "nodes", "above", F.col(key).alias("keys"), F.col(changed).alias("changed")).join(roots, "tree")
+    found = blocks.select("tree", "leaves", "height", "nodes", "above", F.col(key).alias("keys"), F.col(changed).alias("changed")).join(subroots, "tree")
     return found.mapInArrow(run, f"key {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string").withColumnRenamed("key", key)
 
 
