@@ -1,4 +1,4 @@
-"""Models that SQL can follow: boosted splits, models level by level, language profiles, nested sets."""
+"""Models that SQL can follow, nested sets, paged and refreshed tables, frequent words."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from shelfmark.functions.tokens import tokenize
 from shelfmark.models.boosting import UNIT, SoftmaxBoosting
 from shelfmark.models.levels import decode_paths, fit_levels
 from shelfmark.operators import categories as C
+from shelfmark.operators import frequent
 from shelfmark.operators import languages as L
 from shelfmark.operators import nested as N
 from shelfmark.operators.evaluation import level_accuracy
 from shelfmark.operators.sizing import materialise
-from workload.bindings import LABEL, RAGGED_ONLY, TAXONOMY, docs, geo_taxonomy, prefixes_sql, ragged, table
+from shelfmark.session import scratch_path
+from shelfmark.sources import pages, sinks, stored
+from workload.bindings import GEO, LABEL, RAGGED_ONLY, TAXONOMY, docs, geo, geo_taxonomy, prefixes_sql, ragged, table
 from workload.registry import query
 from workload.textsql import TOKEN
 
@@ -174,3 +177,54 @@ def nested_leaf_counts(spark, sf):
 def nested_ancestors(spark, sf):
     steps = N.ancestor_ids(N.nested_sets(geo_taxonomy(spark, sf)))
     return steps.withColumn("ancestors", F.array_join("ancestors", ">"))
+
+
+CATALOGUE = """cat AS (SELECT CAST(left(o_orderpriority, 1) AS BIGINT) AS "catalogId", lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS "catalogItemId", o_totalprice AS price FROM orders)"""
+
+
+def _paged(spark, sf):
+    """Orders stored as a catalogue of pages."""
+    rows = table(spark, sf, "orders").select(
+        F.substring("o_orderpriority", 1, 1).cast("long").alias("catalogId"),
+        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("catalogItemId"), F.col("o_totalprice").alias("price"))
+    path = scratch_path(spark)
+    pages.write_pages(rows, path, size=1_000)
+    return path
+
+
+@query("catalog_pages", f"""WITH {CATALOGUE} SELECT * FROM cat WHERE "catalogId" IN (1, 4) AND "catalogItemId" > '0000000500'""")
+def catalog_pages(spark, sf):
+    """Two catalogues from a key on, read as pages."""
+    return pages.read_pages(spark, _paged(spark, sf), [1, 4], after="0000000500")
+
+
+UPDATED = f"""{GEO}, changed AS (
+  SELECT id, name || ' moved' AS name, balance, 'moved' AS cat1, cat2, cat3 FROM geo WHERE balance < 0
+  UNION ALL SELECT -id, name, balance, cat1, 'new', cat3 FROM geo WHERE balance > 9000)"""
+
+
+@query(
+    "table_refreshed",
+    f"WITH {UPDATED} SELECT id, name, cat1, cat2, cat3 FROM changed UNION ALL SELECT id, name, cat1, cat2, cat3 FROM geo WHERE id NOT IN (SELECT id FROM changed)",
+)
+def table_refreshed(spark, sf):
+    """A stored table after an update that moves rows, adds rows and leaves rows alone, run twice."""
+    path = scratch_path(spark)
+    rows = geo(spark, sf).select("id", "name", "balance", "cat1", "cat2", "cat3")
+    sinks.write_by_category(rows, path)
+    moved = rows.where("balance < 0").withColumn("name", F.concat("name", F.lit(" moved"))).withColumn("cat1", F.lit("moved"))
+    added = rows.where("balance > 9000").withColumn("id", -F.col("id")).withColumn("cat2", F.lit("new"))
+    changed = materialise(moved.unionByName(added))
+    for _ in range(2):
+        stored.upsert(spark, path, changed, ["id"])
+    return spark.read.schema(rows.schema).parquet(path).select("id", "name", "cat1", "cat2", "cat3")
+
+
+FREQUENT = f"""toks AS (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM documents),
+freq AS (SELECT word, count(*) AS count FROM toks GROUP BY 1)"""
+
+
+@query("frequent_words", f"WITH {FREQUENT} SELECT word, count FROM freq ORDER BY count DESC, word LIMIT 300")
+def frequent_words(spark, sf):
+    """The 300 commonest tokens, by a sketch of fixed size and an exact recount."""
+    return frequent.frequent_words(docs(spark, sf).select(tokenize(F.col("text")).alias("tokens")), "tokens", 300, size=20_000)
