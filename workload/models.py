@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from shelfmark.functions.tokens import tokenize
+from shelfmark.models import factors, topic_rounds
 from shelfmark.models.boosting import UNIT, SoftmaxBoosting
 from shelfmark.models.levels import decode_paths, fit_levels
 from shelfmark.operators import categories as C
@@ -228,3 +229,47 @@ freq AS (SELECT word, count(*) AS count FROM toks GROUP BY 1)"""
 def frequent_words(spark, sf):
     """The 300 commonest tokens, by a sketch of fixed size and an exact recount."""
     return frequent.frequent_words(docs(spark, sf).select(tokenize(F.col("text")).alias("tokens")), "tokens", 300, size=20_000)
+
+
+NEAR = f"""near_toks AS (SELECT doc_id AS id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents),
+placed AS MATERIALIZED (SELECT id, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM near_toks),
+common AS (SELECT w FROM placed GROUP BY w HAVING count(*) >= 20),
+known AS MATERIALIZED (SELECT * FROM placed WHERE w IN (SELECT w FROM common)),
+ordered AS (SELECT x.w AS a, y.w AS b, count(*) AS n FROM known x JOIN known y ON x.id = y.id AND y.i BETWEEN x.i + 1 AND x.i + 3 GROUP BY ALL),
+pairs AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM ordered UNION ALL SELECT b, a, n FROM ordered) GROUP BY ALL),
+ofs AS (SELECT a, sum(n) AS s FROM pairs GROUP BY a),
+valued AS (SELECT p.a, p.b, p.n, ln(p.n * (SELECT CAST(sum(s) AS DOUBLE) FROM ofs) / (CAST(x.s AS DOUBLE) * y.s)) AS value FROM pairs p JOIN ofs x ON x.a = p.a JOIN ofs y ON y.a = p.b)"""
+
+
+def _associations(spark, sf):
+    rows = materialise(docs(spark, sf).select(tokenize(F.col("text")).alias("tokens")))
+    return factors.word_associations(rows, "tokens", window=3, min_count=20)
+
+
+@query("word_associations", f"WITH {NEAR} SELECT a, b, CAST(n AS BIGINT) AS n, round(value, 6) AS value FROM valued WHERE value > 0.001")
+def word_associations(spark, sf):
+    """Words that stand near each other more often than by chance."""
+    return _associations(spark, sf).where("value > 0.001").withColumn("value", F.round("value", 6))
+
+
+@query("vector_words", f"WITH {NEAR} SELECT DISTINCT a AS word, 16 AS size FROM valued WHERE value > 0.001")
+def vector_words(spark, sf):
+    """The words that get a vector, with its size; factors stay in the executors."""
+    vectors = factors.fit_vectors(_associations(spark, sf).where("value > 0.001"), size=16, rounds=3)
+    return vectors.select("word", F.size("vector").alias("size"))
+
+
+@query("topics_resumed", f"""WITH bagged AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM documents)
+    SELECT 3 AS last_round, count(DISTINCT id) AS documents, count(DISTINCT word) AS words, true AS same FROM bagged""")
+def topics_resumed(spark, sf):
+    """Topics of all documents fitted in one go and in two: rounds, rows, and whether both give the same table."""
+    bags = docs(spark, sf).select("id", F.explode(tokenize(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    bags, whole, parts = materialise(bags), scratch_path(spark), scratch_path(spark)
+    topic_rounds.fit_topic_rounds(bags, whole, 4, 3)
+    topic_rounds.fit_topic_rounds(bags, parts, 4, 1)
+    at = topic_rounds.fit_topic_rounds(bags, parts, 4, 3)
+    (terms, documents), (again, _) = (topic_rounds.read_round(spark, p, at) for p in (whole, parts))
+    sizes = documents.agg(F.count("*").alias("documents"))
+    joined = terms.join(again.withColumnRenamed("shares", "again"), "word", "full")
+    words = joined.agg(F.count("*").alias("words"), F.bool_and(F.col("shares").eqNullSafe(F.col("again"))).alias("same")).first()
+    return sizes.select(F.lit(at).alias("last_round"), "documents", F.lit(words["words"]).cast("long").alias("words"), F.lit(words["same"]).alias("same"))
