@@ -4,7 +4,7 @@ Each line with a word has a few yes-or-no features; a two-state chain over the l
 of a text, decoded by Viterbi, marks them content or boilerplate. A text is kept if at
 least ``share`` of its words stand in content lines and the base rules do not fail it.
 
-The chain is trained on at most ``sample`` labelled texts, picked by a hash of the id.
+The chain is trained on at most ``sample`` labelled ids, picked by a hash, one text an id.
 Lines have no labels of their own: lines of good texts are content, and of the lines
 of bad ones those that a logistic curve on single lines calls likelier bad. Every text
 is measured whole in the task that reads it; the model is a few dozen numbers.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
+from shelfmark.llm.tables import training_texts
 
 SAMPLE, SHARE, PIECE = 3_000, 0.5, 64
 MIN_WORDS, REPEATED_PERCENT = 50, 50
@@ -198,9 +199,9 @@ def fit_chain(features: np.ndarray, states: np.ndarray, first: np.ndarray, steps
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Chain | None:
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"))
-        .agg(F.min(label_col).alias("y")).orderBy(F.xxhash64("id")).limit(sample)
+        .agg(F.min(label_col).alias("y")).withColumn("order", F.xxhash64("id")).orderBy("order").limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").orderBy("id", "text").toPandas()
+    rows = training_texts(docs, known, id_col, text_col)
     if len(set(rows["y"])) < 2:
         return None
     x, y, lengths = [], [], []

@@ -1,21 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary labelled texts, one on toxic
-ones: the byte sequences that are far commoner in those, followed by the ordinary one,
-so that what both kinds of text share costs the same in either. A text is cut into windows of whole words, each window
-is compressed with both, and the bytes that the toxic dictionary saves are the window's
-gain. Windows with a gain over each of a few thresholds, per text and per word, are the
-inputs of a logistic curve fitted on labelled texts that trained neither dictionary.
+Two zstandard dictionaries are trained, one on windows of ordinary labelled texts, one on
+windows of toxic ones, from which the words are left out that toxic texts do not have far
+more often: what both kinds of text share costs the same in either, as the toxic dictionary
+is followed by the ordinary one. A text is cut into windows of whole words, each window is
+compressed with both, and the bytes that the toxic dictionary saves are the window's gain.
+Windows with a gain over each of a few thresholds, per text and per word, are the inputs of
+a logistic curve fitted on labelled texts that trained neither dictionary. Toxic dictionaries
+of a few sizes are trained, and the one whose curve fits those texts best is taken.
 
 Only labelled rows whose fold (crc32 of the id, modulo 3) is not the held-out one are
 learnt from, at most ``sample`` per label for the dictionaries and ``calibrate`` for the
-curve, picked by a hash of the id; this bound keeps training independent of the input's
-size. Every text is scored whole, in the task that reads it: no shuffle, and the only
-broadcast is the model (two dictionaries of fixed size and some weights).
+curve, picked by a hash of the id, one text an id and ``TRAIN_BYTES`` of text in all; this
+bound keeps training independent of the input's size. Every text is scored whole, in the
+task that reads it: no shuffle, and the only broadcast is the model (two dictionaries of
+fixed size and some weights).
 
 Null and empty texts have no window and get the score of a text without gains. With no
 labelled rows of either kind every score is 0. Null labels and ids count as unlabelled;
-an id that is labelled toxic once is toxic. Repeated rows get equal scores.
+an id that is labelled toxic once is toxic. Repeated rows get equal scores, and the same
+rows the same model, in whatever order they come.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm import words as W
-from shelfmark.llm.tables import fold, free_name
+from shelfmark.llm.tables import fold, free_name, training_texts
 
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
@@ -41,10 +45,11 @@ SAMPLE, CALIBRATE = 2_000, 4_000
 DICTIONARY_BYTES = 4 << 10
 GAINS = (1, 2, 3, 4, 5, 7)
 LEVEL = 3
-#: Lengths of the byte sequences that the toxic dictionary is made of, and when one counts: in so many toxic texts, so many
-#: times as often as in ordinary ones, and by chance with a probability of e^-EVIDENCE at most (there are millions of them).
-PIECES, MAX_WORD, SLOTS = (4, 5, 6, 7, 8, 9), 64, 1 << 23
-LEAST_TEXTS, TIMES, EVIDENCE = 4, 5, 20.0
+#: Size, segment and match length of the toxic dictionaries that are tried.
+TOXIC_DICTIONARIES = ((512, 16, 6), (1024, 16, 6), (1024, 32, 8))
+#: When a word sets toxic texts apart: in so many of them, so many times as often as in ordinary ones, and by chance with a
+#: probability of e^-EVIDENCE at most.
+LEAST_TEXTS, TIMES, EVIDENCE = 3, 5, 12.0
 
 
 @dataclass
@@ -101,12 +106,12 @@ def features(column: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int, k: int = 32, d: int = 6) -> bytes:
     """A dictionary trained on samples; the samples themselves if they are too few to train on."""
     try:
-        return zstd.train_dictionary(size, samples, k=32, d=6).as_bytes()
+        return zstd.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstd.ZstdError:
-        return b" ".join(samples)[:size]
+        return b" ".join(dict.fromkeys(samples))[:size]
 
 
 def _window_bytes(texts: list[str]) -> list[bytes]:
@@ -133,63 +138,26 @@ def different(texts: list[str], most_seen: float = 0.2) -> list[str]:
     return out
 
 
-def _pieces(word: bytes) -> dict[bytes, int]:
-    """The byte sequences of a word with a blank on either side, and where they start."""
-    word = b" " + word[:MAX_WORD] + b" "
-    return {word[i : i + n]: i for n in PIECES for i in range(len(word) - n + 1)}
+def _words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()
 
 
-def toxic_content(ordinary: list[str], toxic: list[str]) -> list[bytes]:
-    """What sets toxic texts apart: the stretches of words whose byte sequences are far commoner there, commonest first.
+def toxic_windows(ordinary: list[str], toxic: list[str]) -> list[bytes]:
+    """Windows of the toxic texts, without the words that are about as common in ordinary ones; counted once a text."""
+    usual, here = Counter(), Counter()
+    for counts, texts in ((usual, ordinary), (here, toxic)):
+        for t in texts:
+            counts.update(set(_words_of(t)))
 
-    Counted once a text. Everything else in toxic texts is ordinary and would only make the two dictionaries alike.
-    """
-    words_of = lambda t: set(t.encode().lower().split())
-    # texts per slot of a table of fixed size first, as most pieces are in one text only
-    slots = np.zeros(SLOTS, np.uint16)
-    for t in toxic:
-        slots[np.unique(np.fromiter((hash(p) % SLOTS for w in words_of(t) for p in _pieces(w)), np.int64))] += 1
-    likely = (slots >= LEAST_TEXTS).tobytes()
-    here: Counter[bytes] = Counter()
-    for t in toxic:
-        here.update({p for w in words_of(t) for p in _pieces(w) if likely[hash(p) % SLOTS]})
-    here = Counter({p: n for p, n in here.items() if n >= LEAST_TEXTS})
-    usual: Counter[bytes] = Counter()
-    known: dict[bytes, list[bytes]] = {}  # of each ordinary word, the few pieces that toxic texts have as well
-    for t in ordinary:
-        own: set[bytes] = set()
-        for w in words_of(t):
-            if w not in known:
-                known[w] = [p for p in _pieces(w) if p in here]
-            own.update(known[w])
-        usual.update(own)
-
-    def tells(piece: bytes, n: int) -> bool:
-        expected = (usual[piece] + 0.5) * len(toxic) / len(ordinary)
+    def tells(word: bytes) -> bool:
+        n, expected = here[word], (usual[word] + 0.5) * len(toxic) / len(ordinary)
         return n >= max(LEAST_TEXTS, TIMES * expected) and n * math.log(n / expected) - (n - expected) >= EVIDENCE
 
-    telling = {p for p, n in here.items() if tells(p, n)}
-    stretches: Counter[bytes] = Counter()
+    telling = {w for w in here if tells(w)}
+    out = []
     for t in toxic:
-        own = set()
-        for w in words_of(t):
-            at = sorted((i, i + len(p)) for p, i in _pieces(w).items() if p in telling)
-            if at:  # from the first telling piece as long as they overlap
-                a, b = at[0]
-                for i, j in at:
-                    b = max(b, j) if i <= b else b
-                own.add((b" " + w + b" ")[a:b])
-        stretches.update(own)
-    return [s for s, n in stretches.most_common() if n >= 2]
-
-
-def _toxic_dictionary(ordinary: list[str], toxic: list[str], size: int) -> bytes:
-    out = b""
-    for stretch in toxic_content(ordinary, toxic):
-        if stretch not in out:
-            out = stretch + out
-        if len(out) >= size:
-            break
+        words = [w for w in _words_of(t) if w in telling]
+        out += [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)]
     return out
 
 
@@ -228,19 +196,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [known.where(part & (F.col("y") == y)).orderBy("order").limit(sample) for y in (0, 1)]
     picked.append(known.where(~part).orderBy("order").limit(calibrate))
     ids = picked[0].unionByName(picked[1]).unionByName(picked[2]).withColumn("trains", part)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(ids, "id").orderBy("id", "text").toPandas()
+    rows = training_texts(docs, ids, id_col, text_col)
     trained = rows["trains"].to_numpy(bool)
     ordinary, toxic = (different(rows["text"][trained & (rows["y"] == y).to_numpy()].tolist()) for y in (0, 1))
     if not ordinary or not toxic:
         return None
     shared = _dictionary(_window_bytes(ordinary), dictionary_bytes)
-    model = Model(shared, _toxic_dictionary(ordinary, toxic, dictionary_bytes) + shared)
+    samples = toxic_windows(ordinary, toxic)
     # texts that trained no dictionary; with few labels there may be none of them
     curve = ~trained if len(set(rows["y"][~trained])) == 2 and (~trained).sum() >= 100 else np.ones(len(rows), bool)
-    x = features(pa.array(rows["text"][curve].tolist(), pa.string()), model)
-    model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _fit_curve((x - model.centre) / model.scale, rows["y"][curve].to_numpy(float))
-    return model
+    texts, y = pa.array(rows["text"][curve].tolist(), pa.string()), rows["y"][curve].to_numpy(float)
+    tried = []
+    for size, k, d in TOXIC_DICTIONARIES:
+        model = Model(shared, _dictionary(samples, size, k, d) + shared)
+        x = features(texts, model)
+        model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
+        model.weights = _fit_curve((x - model.centre) / model.scale, y)
+        p = np.clip(_scores(x, model), 1e-9, 1 - 1e-9)
+        tried.append((-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), len(tried), model))
+    return min(tried)[2]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, str]:

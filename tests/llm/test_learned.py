@@ -11,7 +11,8 @@ import pytest
 
 from shelfmark.llm import language_model as lm
 from shelfmark.llm.quality import text_quality, viterbi
-from shelfmark.llm.toxicity import CUT, FOLDS, HELD_OUT, score_toxicity
+from shelfmark.llm.tables import training_texts
+from shelfmark.llm.toxicity import CUT, FOLDS, HELD_OUT, score_toxicity, toxic_windows
 
 SF = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,3 +143,22 @@ def test_language_model_probabilities_sum_to_one():
             automaton.begin = state
             total += 10 ** automaton.traverse([letter], [math.log10(p)])
         assert math.isclose(total, 1.0), state
+
+
+def test_one_labelled_id_repeated_thousands_of_times(spark):
+    """Training reads one text an id, within its bytes."""
+    docs = spark.range(30_000).selectExpr("if(id < 29000, 7, id) doc_id", "concat('some text ', id % 100) text")
+    ids = spark.createDataFrame([(7, 0, 5), (29_001, 1, 3), (29_002, 1, 4)], "id long, y int, order long")
+    rows = training_texts(docs, ids, "doc_id", "text")
+    assert sorted(rows["id"]) == [7, 29_001, 29_002]
+    assert len(training_texts(docs, ids, "doc_id", "text", limit=25)) == 2
+    labels = spark.range(29_000, 30_000).selectExpr("id doc_id", "cast(id % 2 as int) quality").unionAll(spark.createDataFrame([(7, 1)], "doc_id long, quality int"))
+    assert text_quality(docs, labels).count() == 30_000
+
+
+def test_dictionaries_do_not_depend_on_the_order_of_words():
+    ordinary = [" ".join(random.Random(i).choices([f"w{k}" for k in range(300)], k=60)) for i in range(200)]
+    toxic = [f"{t} vile{i % 3} vile{i % 2}" for i, t in enumerate(ordinary[:120])]
+    windows = toxic_windows(ordinary, toxic)
+    assert {w for window in windows for w in window.split()} == {b"vile0", b"vile1", b"vile2"}
+    assert windows == toxic_windows(ordinary, toxic)
