@@ -41,8 +41,8 @@ def read_dump(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFr
     return spark.read.option("pathGlobFilter", glob).parquet(path)
 
 
-#: Written in place of line breaks and of itself, so that a record is one line and files can be split.
-ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+#: Written in place of line breaks, NUL and of itself, so that a record is one line and files can be split.
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\x00", "\\0"))
 
 
 def escape_breaks(text: Column) -> Column:
@@ -51,12 +51,16 @@ def escape_breaks(text: Column) -> Column:
     return text
 
 
+def _replaced(pieces: Column, old: str, new: str) -> Column:
+    return F.transform(pieces, lambda piece: F.replace(piece, F.lit(old), F.lit(new)))
+
+
 def unescape_breaks(text: Column) -> Column:
-    """The inverse of ``escape_breaks``; pairs of backslashes are set aside first."""
-    text = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
+    """The inverse of ``escape_breaks``: between doubled backslashes the other pairs are put back."""
+    pieces = F.split(text, r"\\\\")
     for plain, escaped in ESCAPES[1:]:
-        text = F.replace(text, F.lit(escaped), F.lit(plain))
-    return F.replace(text, F.lit("\x00"), F.lit("\\"))
+        pieces = _replaced(pieces, escaped, plain)
+    return F.array_join(pieces, "\\")
 
 
 def read_delimited(

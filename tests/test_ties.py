@@ -51,7 +51,7 @@ def test_order_key_of_several_columns(spark):
 
 
 def test_delimited_text_comes_back(spark, tmp_path):
-    texts = ['12" "pipe" kit', "a;b", "line\nbreak", "cr\r\nlf", "back\\slash \\n \\\\", "", None, " blanks ", '"', '\\"', "é;\"\n\\N", "\\N"]
+    texts = ['12" "pipe" kit', "a;b", "line\nbreak", "cr\r\nlf", "back\\slash \\n \\\\", "", None, " blanks ", '"', '\\"', "é;\"\n\\N", "\\N", "a\x00b\\\x01\x0b", "\\\\\nn", "\\r\r"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     write_delimited(df, f"{tmp_path}/a", escaped=True)
     back = read_delimited(spark, f"{tmp_path}/a", schema="id int, text string", escaped=True)
@@ -74,7 +74,7 @@ def test_more_than_a_hundred_classes(spark, kind):
 
 
 def test_boosted_trees_take_parallelism():
-    assert make_estimator("boosted", parallelism=3).getParallelism() == 3
+    assert make_estimator("boosted_apart", parallelism=3).getParallelism() == 3
 
 
 def test_rows_without_category_count_nowhere(spark):

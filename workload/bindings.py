@@ -10,6 +10,8 @@ from shelfmark.operators.categories import taxonomy_from_paths
 from shelfmark.sources.tables import spread
 
 SEED = "s1"
+#: Tasks that texts are dealt out to; the test tables are single row groups.
+TEXT_TASKS = 16
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -74,7 +76,7 @@ LABEL = r"regexp_replace(concat_ws(' > ', cat1, cat2, cat3), '(?: > )* > \z', ''
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents under lang > source."""
-    rows = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), TEXT_TASKS)
     return rows.select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("cat1"), F.col("source").alias("cat2"),
         F.concat_ws(" > ", "lang", "source").alias("category"),
@@ -113,7 +115,7 @@ def key_sql(id_col: str = "id") -> str:
 
 def event_products(spark: SparkSession, sf: str) -> DataFrame:
     """Events as raw product records: attribute groups as CSV-quoted JSON text."""
-    e = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props"))
+    e = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props"), TEXT_TASKS)
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.pmod("user_id", F.lit(3))
     gender = F.when(kind == 0, "male").when(kind == 1, "female")

@@ -1,6 +1,6 @@
 """Whole jobs and learned models on the test tables.
 
-Fitted models have no SQL form; their queries are checked by tests. Sizes are small
+Fitted models have no SQL form; their queries report what SQL can say about them, tests the rest. Sizes are small
 here (vector size 16, few iterations); they are parameters of the operators.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -130,16 +131,16 @@ VOCABULARY = 500
 
 @query(
     "count_vector_vocabulary",
-    f"""WITH {NORM}, freq AS (SELECT word, count(*) AS count FROM (SELECT unnest(tokens) AS word FROM norm) GROUP BY 1)
+    f"""WITH {NORM}, freq AS MATERIALIZED (SELECT word, count(*) AS count FROM (SELECT unnest(tokens) AS word FROM norm) GROUP BY 1)
     SELECT word, count AS occurrences FROM freq WHERE count > (SELECT min(count) FROM (SELECT count FROM freq ORDER BY count DESC LIMIT {VOCABULARY}))""",
 )
 def count_vector_vocabulary(spark, sf):
     """Words that the vectoriser keeps, with their occurrences, summed from its vectors; its choice among the rarest is open."""
     rows = docs(spark, sf).select("id", product_tokens(F.col("text")).alias("textTokens"))
     model = stages.count_vectors("text", VOCABULARY).fit(rows)
-    counted = model.transform(rows).select(F.posexplode(vector_to_array("textVector")).alias("term", "n"))
+    counted = model.transform(rows).agg(Summarizer.sum(F.col("textVector")).alias("sums"))  # sparse vectors, one dense sum
     words = spark.createDataFrame(list(enumerate(model.vocabulary)), "term int, word string")
-    summed = counted.groupBy("term").agg(F.sum("n").cast("bigint").alias("occurrences")).join(words, "term")
+    summed = materialise(counted.select(F.posexplode(vector_to_array("sums")).alias("term", "n")).join(words, "term").select("word", F.round("n").cast("bigint").alias("occurrences")))
     return summed.where(F.col("occurrences") > summed.agg(F.min("occurrences")).scalar()).select("word", "occurrences")
 
 
@@ -195,7 +196,7 @@ def _features(**params):
 
 CLASSIFIERS = {
     "logistic": dict(maxIter=20, elasticNetParam=0.9, regParam=0.0, maxBlockSizeInMB=16.0),
-    "mlp": dict(maxIter=20, stepSize=0.1, layers=[36, 8, 4], seed=7),
+    "mlp": dict(maxIter=150, stepSize=0.5, layers=[36, 8, 4], seed=7),
     "naive_bayes": dict(modelType="gaussian"),
     "tree": dict(maxDepth=5, maxBins=32, seed=7),
     "forest": dict(maxDepth=5, maxBins=32, numTrees=10, seed=7),
@@ -209,11 +210,24 @@ def _fit(spark, sf, kind):
     return model, vectors, test
 
 
+SPLIT = f"""sized AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+ranked AS (SELECT doc_id AS id, lang, n, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('doc_id')}) AS rn FROM documents JOIN sized USING (lang)),
+parts AS (SELECT id, lang, CASE WHEN rn < round(n * 0.75) THEN 'train' ELSE 'test' END AS part FROM ranked),
+majority AS (SELECT part, max(n) / sum(n) AS share FROM (SELECT part, lang, count(*) AS n FROM parts GROUP BY ALL) GROUP BY part)"""
+
+
+def _above_majority(model, vectors, test):
+    """(part, rows, above_majority): whether more rows are right than the commonest class has."""
+    both = model.stages[-1].transform(vectors).select("target", "prediction", F.lit("train").alias("part")).unionByName(
+        model.transform(test).select("target", "prediction", F.lit("test").alias("part")))
+    rows = both.groupBy("part", "target").agg(F.count("*").alias("n"), F.count_if(F.col("target") == F.col("prediction")).alias("hits"))
+    return rows.groupBy("part").agg(F.sum("n").alias("rows"), (F.sum("hits") > F.max("n")).alias("above_majority"))
+
+
 def _register(kind):
-    @query(f"classifier_{kind}")
+    @query(f"classifier_{kind}", f"WITH {SPLIT} SELECT part, count(*) AS rows, true AS above_majority FROM parts GROUP BY part")
     def run(spark, sf):
-        model, vectors, test = _fit(spark, sf, kind)
-        return training.train_and_test_accuracy(model, vectors, test)
+        return _above_majority(*_fit(spark, sf, kind))
 
     return run
 
@@ -222,18 +236,46 @@ for _kind in CLASSIFIERS:
     _register(_kind)
 
 
-@query("classifier_summary")
+WIDTH = f"(SELECT count(DISTINCT source) FROM documents) - 1 + {EMBEDDING['vectorSize']}"
+WORDS = f"(SELECT count(*) FROM (SELECT word FROM (SELECT unnest(tokens) AS word FROM norm JOIN parts USING (id) WHERE part = 'train') GROUP BY 1 HAVING count(*) >= {EMBEDDING['minCount']}))"
+
+
+@query(
+    "classifier_summary",
+    f"""WITH {NORM}, {SPLIT} SELECT 'coefficients' AS name, CAST((SELECT count(DISTINCT lang) FROM documents) * ({WIDTH} + 1) AS DOUBLE) AS value
+    UNION ALL SELECT 'vocabulary_textTokens', CAST({WORDS} AS DOUBLE)""",
+)
 def classifier_summary(spark, sf):
-    return training.model_summary(_fit(spark, sf, "logistic")[0])
+    """Sizes of the fitted classifier: its coefficients and its words."""
+    facts = training.model_summary(_fit(spark, sf, "logistic")[0])
+    return facts.where("name = 'coefficients' or name like 'vocabulary%'")
 
 
-@query("tree_summary")
+@query("tree_summary", f"""WITH {SPLIT} SELECT true AS deep_enough, true AS binary, {WIDTH} + 1 AS features, true AS importances_sum FROM (SELECT 1)""")
 def tree_summary(spark, sf):
-    return training.model_summary(_fit(spark, sf, "tree")[0])
+    """The fitted tree: within its depth, two children a node, importances that sum to one."""
+    facts = training.model_summary(_fit(spark, sf, "tree")[0])
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    shares = F.col("name").like("importance%")
+    return facts.agg(
+        value("depth").between(1, CLASSIFIERS["tree"]["maxDepth"]).alias("deep_enough"), (value("numNodes") % 2 == 1).alias("binary"),
+        F.count_if(shares).alias("features"), F.sum(F.when(shares, F.col("value"))).between(0.98, 1.02).alias("importances_sum"))
 
 
-@query("classifier_confidence")
+@query(
+    "classifier_confidence",
+    f"WITH {SPLIT} SELECT part, count(*) AS thresholds, 0.0::DOUBLE AS lowest, 100.0::DOUBLE AS all_covered, true AS falling FROM (SELECT DISTINCT part FROM parts), range(9) GROUP BY part",
+)
 def classifier_confidence(spark, sf):
+    """Accuracy and coverage by confidence: at the lowest threshold all rows, at higher ones no more than below."""
+    swept = _confidence(spark, sf)
+    below = F.lag("coverage").over(Window.partitionBy("part").orderBy("threshold"))
+    steps = swept.withColumn("falls", F.coalesce(F.col("coverage") <= below, F.lit(True)))
+    return steps.groupBy("part").agg(
+        F.count("*").alias("thresholds"), F.min("threshold").alias("lowest"), F.max("coverage").alias("all_covered"), F.bool_and("falls").alias("falling"))
+
+
+def _confidence(spark, sf):
     """Accuracy and coverage by confidence, train and test rows in one pass."""
     model, vectors, test = _fit(spark, sf, "logistic")
     part = lambda df, name: training.with_confidence(df).select(
@@ -242,8 +284,13 @@ def classifier_confidence(spark, sf):
     return confidence_sweep(both, by=["part"])
 
 
-@query("classifier_scores")
+@query("classifier_scores", "SELECT lang AS actual, count(*) AS rows, count(*) AS scored FROM documents GROUP BY lang")
 def classifier_scores(spark, sf):
+    """Rows of each language, and how many of them got the name of a language."""
+    return _scores(spark, sf).groupBy("actual").agg(F.count("*").alias("rows"), F.count("prediction").alias("scored"))
+
+
+def _scores(spark, sf):
     """All documents scored by a saved and reloaded pipeline, with class names."""
     model, _, _ = _fit(spark, sf, "logistic")
     path = scratch_path(spark)
@@ -252,8 +299,13 @@ def classifier_scores(spark, sf):
     return training.score(_documents(spark, sf), PipelineModel.load(path), names, "id", F.col("cat1").alias("actual"))
 
 
-@query("training_report")
+@query("training_report", "SELECT level, true AS reached FROM (SELECT unnest([1, 2]) AS level)")
 def training_report(spark, sf):
+    """Whether more than half of the predictions are right down to each level; languages have one, so both levels agree."""
+    return _report(spark, sf).select("level", (F.col("accuracy") > 50).alias("reached"))
+
+
+def _report(spark, sf):
     """Train, score both parts, and report accuracy by taxonomy level."""
     model, vectors, test = _fit(spark, sf, "logistic")
     names = class_names(class_index(_language_counts(spark, sf), 1))
@@ -261,11 +313,22 @@ def training_report(spark, sf):
     return reports["level_accuracy"]
 
 
-@query("cross_validation")
-def cross_validation(spark, sf):
+FOLDS = f"""r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('doc_id')}) AS rn FROM documents),
+f AS (SELECT CAST((rn - 1) % 3 AS INTEGER) AS fold, count(*) AS n FROM r GROUP BY 1)"""
+
+
+def _cross_validated(spark, sf):
     train, test = _split(spark, sf)
-    rows = train.unionByName(test)
-    return training.cross_validate(rows, _features(), make_estimator("tree", **CLASSIFIERS["tree"]), 3, "key")
+    return training.cross_validate(train.unionByName(test), _features(), make_estimator("tree", **CLASSIFIERS["tree"]), 3, "key")
+
+
+@query(
+    "cross_validation",
+    f"WITH {FOLDS} SELECT fold, 'test' AS part, n AS rows, true AS learnt FROM f UNION ALL SELECT fold, 'train', (SELECT count(*) FROM documents) - n, true FROM f",
+)
+def cross_validation(spark, sf):
+    """Rows of each part of each fold, and whether more than half of them are right."""
+    return _cross_validated(spark, sf).select("fold", "part", "rows", (F.col("accuracy") > 0.5).alias("learnt"))
 
 
 TOPIC_SETTINGS = dict(k=4, maxIter=5, subsamplingRate=0.2, seed=7)
@@ -275,20 +338,33 @@ def _topics(spark, sf):
     return topics.fit_topics(_documents(spark, sf), "text", vocab_size=1000, **TOPIC_SETTINGS)
 
 
-@query("topic_terms")
+@query("topic_terms", f"WITH {NORM} SELECT topic, 25 AS terms, 25 AS different, count(*) > 0 AS known FROM norm, (SELECT unnest([0, 1, 2, 3]) AS topic) GROUP BY topic")
 def topic_terms(spark, sf):
+    """Terms of each topic, and whether all of them are words or languages of the documents."""
+    described = topics.describe_topics(_topics(spark, sf), 25).select("topic", F.explode("terms").alias("word"))
+    rows = docs(spark, sf)
+    words = rows.select(F.explode(F.concat(product_tokens(F.col("text")), F.array("cat1"))).alias("word")).distinct().withColumn("there", F.lit(True))
+    return described.join(words, "word", "left").groupBy("topic").agg(
+        F.count("*").cast("int").alias("terms"), F.count_distinct("word").cast("int").alias("different"), F.bool_and(F.coalesce("there", F.lit(False))).alias("known"))
+
+
+def _topic_terms(spark, sf):
     described = topics.describe_topics(_topics(spark, sf), 25)
     return described.select("topic", F.array_join("terms", " ").alias("terms"))
 
 
-@query("topic_summary")
+@query("topic_summary", "SELECT topic, 1000 AS vocabulary, true AS weighed FROM (SELECT unnest([0, 1, 2, 3]) AS topic)")
 def topic_summary(spark, sf):
-    return topics.topic_summary(_topics(spark, sf))
+    """The topics, the size of their vocabulary, and whether each has a weight."""
+    return topics.topic_summary(_topics(spark, sf)).select("topic", "vocabulary", (F.col("concentration") > 0).alias("weighed"))
 
 
-@query("topic_shared_terms")
+@query("topic_shared_terms", "SELECT 100 AS terms, true AS counted FROM (SELECT 1)")
 def topic_shared_terms(spark, sf):
-    return V.shared_topic_terms(topics.describe_topics(_topics(spark, sf), 25), 2)
+    """Terms by the number of topics that have them: all entries are counted, none more often than there are topics."""
+    described = topics.describe_topics(_topics(spark, sf), 25)
+    shared = V.shared_topic_terms(described, 1)
+    return shared.agg(F.sum("count").cast("int").alias("terms"), F.bool_and(F.col("count").between(1, 4)).alias("counted"))
 
 
 @query(
@@ -305,25 +381,20 @@ def shared_terms(spark, sf):
     return V.shared_topic_terms(heaviest.groupBy("cat1").agg(F.collect_list("word").alias("terms")), 2)
 
 
-SPLIT = f"""sized AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-ranked AS (SELECT doc_id AS id, lang, n, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('doc_id')}) AS rn FROM documents JOIN sized USING (lang)),
-parts AS (SELECT id, lang, CASE WHEN rn < round(n * 0.75) THEN 'train' ELSE 'test' END AS part FROM ranked)"""
-
-
 @query(
     "classifiers_checked",
     f"WITH {SPLIT} SELECT kind, part, count(*) AS rows, true AS above_majority FROM parts, (VALUES ('logistic'), ('naive_bayes'), ('tree')) k(kind) GROUP BY ALL",
 )
 def classifiers_checked(spark, sf):
-    """For three classifiers: rows of each part, and whether more of them are right than the commonest language has."""
+    """For three classifiers on the same stored features: rows of each part, and whether they beat the commonest language."""
+    train, test = _split(spark, sf)
+    first, vectors = training.fit_classifier(train, _features(), make_estimator("logistic", **CLASSIFIERS["logistic"]))
+    features = PipelineModel(stages=first.stages[:-1])
+    unseen = materialise(features.transform(test).select("features", "target"))
     out = None
     for kind in ("logistic", "naive_bayes", "tree"):
-        model, vectors, test = _fit(spark, sf, kind)
-        both = model.stages[-1].transform(vectors).select("target", "prediction", F.lit("train").alias("part")).unionByName(
-            model.transform(test).select("target", "prediction", F.lit("test").alias("part")))
-        rows = both.groupBy("part", "target").agg(F.count("*").alias("n"), F.count_if(F.col("target") == F.col("prediction")).alias("hits"))
-        checked = rows.groupBy("part").agg(F.sum("n").alias("rows"), (F.sum("hits") > F.max("n")).alias("above_majority"))
-        checked = checked.select(F.lit(kind).alias("kind"), "part", "rows", "above_majority")
+        last = first.stages[-1] if kind == "logistic" else make_estimator(kind, **CLASSIFIERS[kind]).fit(vectors)
+        checked = _above_majority(PipelineModel(stages=[last]), vectors, unseen).select(F.lit(kind).alias("kind"), "part", "rows", "above_majority")
         out = checked if out is None else out.unionByName(checked)
     return out
 
@@ -332,24 +403,14 @@ def classifiers_checked(spark, sf):
 def scores_checked(spark, sf):
     """Every document is scored, and its prediction is a language of the tables."""
     known = table(spark, sf, "documents").select(F.col("lang").alias("prediction"), F.lit(True).alias("known")).distinct()
-    scored = classifier_scores(spark, sf).join(known, "prediction", "left")
+    scored = _scores(spark, sf).join(known, "prediction", "left")
     return scored.select("id", "actual", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query(
-    "folds_checked",
-    f"""WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('doc_id')}) AS rn FROM documents),
-    f AS (SELECT CAST((rn - 1) % 3 AS INTEGER) AS fold, count(*) AS n FROM r GROUP BY 1)
-    SELECT fold, 'test' AS part, n AS rows FROM f UNION ALL SELECT fold, 'train', (SELECT count(*) FROM documents) - n FROM f""",
-)
+@query("folds_checked", f"WITH {FOLDS} SELECT fold, 'test' AS part, n AS rows FROM f UNION ALL SELECT fold, 'train', (SELECT count(*) FROM documents) - n FROM f")
 def folds_checked(spark, sf):
-    """How many rows each fold of the cross-validation trains and tests on."""
-    train, test = _split(spark, sf)
-    folds = stratified_folds(train.unionByName(test), "target", 3, "key")
-    n = folds.groupBy("fold").agg(F.count("*").alias("rows"))
-    everything = n.agg(F.sum("rows")).scalar()
-    tests = n.select("fold", F.lit("test").alias("part"), "rows")
-    return tests.unionByName(n.select("fold", F.lit("train").alias("part"), (everything - F.col("rows")).alias("rows")))
+    """How many rows each fold of the cross-validation trained and tested on."""
+    return _cross_validated(spark, sf).select("fold", "part", "rows")
 
 
 @query("topics_checked", "SELECT 4 AS topics, 25 AS terms, count(*) AS documents, true AS shares_sum FROM documents")
@@ -364,7 +425,13 @@ def topics_checked(spark, sf):
     return described.select("*", checked.select("documents").scalar().alias("documents"), checked.select("shares_sum").scalar().alias("shares_sum"))
 
 
-@query("topic_shares")
+@query("topic_shares", "SELECT doc_id AS id, 4 AS topics, true AS in_range FROM documents")
 def topic_shares(spark, sf):
+    """Each document's number of topics, and whether all its shares lie between 0 and 1."""
+    shares = _topic_shares(spark, sf).select("id", F.split("topics", " ").cast("array<double>").alias("shares"))
+    return shares.select("id", F.size("shares").alias("topics"), F.forall("shares", lambda x: (x >= 0) & (x <= 1)).alias("in_range"))
+
+
+def _topic_shares(spark, sf):
     shares = topics.topic_distribution(_topics(spark, sf), _documents(spark, sf), "text", "id")
     return shares.select("id", F.array_join(F.col("topics").cast("array<string>"), " ").alias("topics"))

@@ -10,7 +10,7 @@ from shelfmark.operators.attributes import expand_groups
 from shelfmark.operators.sizing import materialise
 from shelfmark.plans import profiles as P
 from shelfmark.sources.tables import spread
-from workload.bindings import DOCS, EVENT_PRODUCTS, PARTS, docs, event_products, key_sql, keyed, parts, table
+from workload.bindings import DOCS, EVENT_PRODUCTS, PARTS, TEXT_TASKS, docs, event_products, key_sql, keyed, parts, table
 from workload.fields import BUCKET
 from workload.registry import query
 from workload.textsql import NOISE, TOKEN, bands_sql, normalised, without, words_sql
@@ -54,7 +54,7 @@ PAGES = f"pg AS (SELECT page_id AS id, html AS text FROM pages), {normalised('pg
 @query("normalised_page_tokens", f"WITH {PAGES} SELECT id, array_to_string(tokens, ' ') AS tokens FROM norm")
 def normalised_page_tokens(spark, sf):
     """Raw pages: dense in punctuation, numbers and mixed case."""
-    pages = spread(table(spark, sf, "pages")).select(F.col("page_id").alias("id"), T.product_tokens(F.col("html")).alias("tokens"))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), TEXT_TASKS).select(F.col("page_id").alias("id"), T.product_tokens(F.col("html")).alias("tokens"))
     return _joined(pages)
 
 
@@ -241,7 +241,7 @@ def least_common_words(spark, sf):
     f"WITH {PAGES}, {DF} SELECT * FROM freq WHERE NOT regexp_matches(word, '\\A[a-zA-Z]*\\z') AND count BETWEEN 1 AND 5 ORDER BY count DESC, word LIMIT 200",
 )
 def odd_outliers(spark, sf):
-    pages = spread(table(spark, sf, "pages")).select(T.product_tokens(F.col("html")).alias("tokens"))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), TEXT_TASKS).select(T.product_tokens(F.col("html")).alias("tokens"))
     return V.top_k(V.odd_tokens(V.doc_freq(pages, "tokens"), 1, 5), 200)
 
 
@@ -250,7 +250,7 @@ def odd_outliers(spark, sf):
     f"WITH {PAGES}, {DF} SELECT * FROM freq WHERE NOT regexp_matches(word, '\\A[a-zA-Z]*\\z') AND NOT contains(word, '<') ORDER BY count DESC, word LIMIT 100",
 )
 def odd_common(spark, sf):
-    pages = spread(table(spark, sf, "pages")).select(T.product_tokens(F.col("html")).alias("tokens"))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), TEXT_TASKS).select(T.product_tokens(F.col("html")).alias("tokens"))
     return V.top_k(V.odd_tokens(V.doc_freq(pages, "tokens"), 1), 100)
 
 
@@ -446,4 +446,4 @@ def measurements(spark, sf):
         .when(n == 5, F.concat(q, F.lit(",000"))).when(n == 6, F.concat(q, F.lit("percent")))
         .otherwise(F.concat(q, F.lit("cmwide")))
     )
-    return spread(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", measurement(token).alias("shown"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", measurement(token).alias("shown"))
