@@ -11,8 +11,10 @@ one running sum finds the level at which the rest is shared.
 
 A null source is a source of its own, ordered last. Null and blank texts have no
 words and are emitted at their source's rate like any other; a source without words
-has the rate 0. Rows with a null id draw by a hash of the text; repeated rows draw
-alike. Empty input gives empty output.
+has the rate 0. Rows with a null id draw by a hash of the text. Rows whose id occurs more
+than once draw by their place in the input as well, so that a repeated id is taken as
+often as its rate says; reruns over the same files agree. Texts of any length are
+counted whole. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ LIMIT = 3
 SEED = "mix"
 
 
-def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that follows from the id; from the text where the id is null."""
+def draw(doc_id: Column, text: Column, place: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that follows from the id, from the text where the id is null, and from the place if there is one."""
     own = F.coalesce(F.concat(F.lit("id:"), doc_id.cast("string")), F.concat(F.lit("text:"), F.md5(text.cast("binary"))), F.lit(""))
+    own = F.concat(own, F.coalesce(F.concat(F.lit("#"), place.cast("string")), F.lit("")))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")), 1, 13)
     return F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
@@ -63,6 +66,17 @@ def source_rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, limit: int
     return shared.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
+def _placed(docs: DataFrame, id_col: str, place: str) -> DataFrame:
+    """The rows with their place in the input where their id, or the lack of one, occurs more than once; null elsewhere."""
+    counted = docs.groupBy(F.col(id_col).alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    again = materialise(counted.select("of")).withColumn("again", F.lit(True))
+    of, mark = free_name(docs, "id_again"), free_name(docs, "again")
+    again = again.toDF(of, mark)
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    joined = rows.join(again, F.col(id_col).eqNullSafe(F.col(of)), "left")
+    return joined.withColumn(place, F.when(F.col(mark), F.col(place))).select(*docs.columns, place)
+
+
 def _copies(rate: Column, drawn: Column) -> Column:
     return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).cast("long")
 
@@ -70,10 +84,9 @@ def _copies(rate: Column, drawn: Column) -> Column:
 def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Sequence[int] = WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): what the mix takes of each document."""
-    sized = materialise(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        draw(F.col(id_col), F.col(text_col), seed).alias("drawn"),
-    ))
+    rows = _placed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "doc_id", "place")
+    sized = materialise(rows.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), F.col("place"), seed).alias("drawn")))
     rates = materialise(source_rates(sized, weights, limit)).withColumnRenamed("source", "of")
     joined = sized.join(rates, F.col("source").eqNullSafe(F.col("of")))
     return joined.withColumn("copies", _copies(F.col("rate"), F.col("drawn"))).select(
@@ -86,9 +99,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     of, rate, copy = (free_name(docs, c) for c in ("mix_source", "mix_rate", "copy"))
     rates = materialise(source_rates(sized, weights, limit)).select(F.col("source").alias(of), F.col("rate").alias(rate))
-    times = _copies(F.col(rate), draw(F.col(id_col), F.col(text_col), seed)).cast("int")
+    place = free_name(docs, "place")
+    times = _copies(F.col(rate), draw(F.col(id_col), F.col(text_col), F.col(place), seed)).cast("int")
     return (
-        docs.join(rates, F.col(source_col).eqNullSafe(F.col(of))).withColumn(copy, times).where(F.col(copy) > 0)
+        _placed(docs, id_col, place).join(rates, F.col(source_col).eqNullSafe(F.col(of))).withColumn(copy, times).where(F.col(copy) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns, copy)
     )
 

@@ -57,3 +57,17 @@ def test_mix_repeats_documents(spark):
     want = {r.doc_id: r.copies for r in mixed_sizes(docs).collect() if r.copies}
     assert Counter(r.doc_id for r in out.collect()) == want
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_an_id_that_is_repeated_is_taken_at_its_rate(spark, tmp_path):
+    rows = [(1, "one two three", "a", "x")] * 3_000 + [(None, "four words are here", "a", "x")] * 2_000 + [(i, "w " * 40, "b", "x") for i in range(2, 600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, place string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = mixed_sizes(docs).groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert all(abs(r["sum(taken)"] - r["target"]) < 0.05 * r["target"] for r in got)
+    again = [sorted(map(repr, mixed_sizes(docs).collect())) for _ in range(2)]
+    assert again[0] == again[1]
+    mixed = mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "place", "copy"]
+    taken = {r["source"]: r["n"] for r in mixed.selectExpr("source", "size(split(trim(text), ' ')) n").groupBy("source").agg({"n": "sum"}).toDF("source", "n").collect()}
+    assert taken == {r["source"]: r["sum(taken)"] for r in got}
