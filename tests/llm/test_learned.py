@@ -106,15 +106,18 @@ def plain_model(texts, limit):
     return one, total, size, p
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 5])
-def test_language_model_equals_plain_version(spark, frequent):
-    rng = random.Random(4)
-    vocab = [f"W{i}" for i in range(12)]
-    rows = [(i, " ".join(rng.choices(vocab, weights=range(12, 0, -1), k=rng.randint(0, 30))) + (f" rare{i}" if i % 4 == 0 else "")) for i in range(60)]
-    rows += [(None, None), (7, None), (61, "rare2 unheard"), (61, "rare2 unheard")]
+@pytest.mark.parametrize(("vocabulary", "carried"), [(12, 1 << 17), (12, 3), (3_000, 50)])
+def test_language_model_equals_plain_version(spark, vocabulary, carried):
+    """Weights that a task carries and weights that are joined add up to the same score."""
+    rng = random.Random(vocabulary)
+    vocab = [f"W{i}" for i in range(vocabulary)]
+    weights = [1 / (i + 1) for i in range(vocabulary)]
+    texts = [" ".join(rng.choices(vocab, weights=weights, k=rng.randint(0, 60))) for i in range(150)]
+    rows = [(i, t + (f" rare{i}" if i % 4 == 0 else "")) for i, t in enumerate(texts)] + [(1_000 + i, " ".join(t.split()[5:25])) for i, t in enumerate(texts)]
+    rows += [(None, None), (7, None), (610, "rare2 unheard"), (610, "rare2 unheard"), (611, "\n ")]
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % lm.FOLDS
     one, total, size, p = plain_model([t for i, t in rows if fold(i) != lm.HELD_OUT], lm.LEAST_COUNT)
-    got = sorted((tuple(r) for r in lm.text_scores(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()), key=repr)
+    got = sorted((tuple(r) for r in lm.text_scores(spark.createDataFrame(rows, "doc_id long, text string"), frequent=carried, arcs=carried).collect()), key=repr)
     want = []
     for i, t in rows:
         words = [*WORD.findall((t or "").translate(LOWER)), "</s>"]
@@ -125,24 +128,16 @@ def test_language_model_equals_plain_version(spark, frequent):
             history = (*history, w)[-2:]
         want.append((i, fold(i) == lm.HELD_OUT, len(words), sum(one[w] > 0 for w in words), total, base, score))
     for g, w in zip(got, sorted(want, key=repr), strict=True):
-        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5])
-        if frequent > 100:  # with a small alphabet the automaton knows fewer n-grams
-            assert g[6] == pytest.approx(w[6])
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6])
     assert lm.text_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_language_model_probabilities_sum_to_one():
-    vocabulary = lm.Vocabulary(np.array([1, 2, 3]), np.array([5, 4, 2]), np.array([0, 1, 2]), 13, 4)
-    end, begin, b = vocabulary.end, vocabulary.begin, lm._BITS
-    grams = {1 << 3 * b | begin << b | 0: 2, 1 << 3 * b | 0 << b | 1: 3, 1 << 3 * b | 1 << b | end: 2, 0 << 2 * b | 1 << b | end: 2}
-    automaton = lm.automaton_of(grams, vocabulary, 2)
-    single = {0: 6 / 18, 1: 5 / 18, 2: 3 / 18, end: 3 / 18}
-    for state in range(len(automaton.fail)):
-        total = 0.0
-        for letter, p in [*single.items(), (-1, 1 / 18)]:
-            automaton.begin = state
-            total += 10 ** automaton.traverse([letter], [math.log10(p)])
-        assert math.isclose(total, 1.0), state
+def test_language_model_grows_with_its_input(spark):
+    """Twice the corpus, twice the arcs; nothing is cut at a fixed number of words."""
+    rng = random.Random(1)
+    texts = [" ".join(f"v{rng.randrange(20_000)}" for _ in range(30)) for _ in range(2_000)]
+    arcs = [lm.weights_of(spark.createDataFrame([(t,) for t in texts[:n] * 2], "text string")).arcs.count() for n in (1_000, 2_000)]
+    assert arcs[0] > 50_000 and arcs[1] > 1.9 * arcs[0]
 
 
 def test_one_labelled_id_repeated_thousands_of_times(spark):
