@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
+from shelfmark.llm.filters import key_filter, may_hold
 from shelfmark.llm.graph import components
 from shelfmark.llm.tables import materialise
 
@@ -121,6 +122,21 @@ def _prefixes(width: int, percent: int, counts: np.ndarray):
     return run
 
 
+def _thinned(several):
+    """The postings of the shingles that the filter may hold."""
+
+    def run(batches):
+        table = several.value
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            keep = may_hold(table, tokens)
+            classes = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            yield pa.record_batch({"class": pa.array(classes[keep]), "token": pa.array(tokens[keep])})
+
+    return run
+
+
 def _enough(common, n_a, n_b, percent: int):
     return common * (100 + percent) >= percent * (n_a + n_b)
 
@@ -276,7 +292,11 @@ def jaccard_components(
 
     prefixes = docs.select("text").mapInArrow(_prefixes(width, percent, counts), "class long, n long, tokens array<long>, bitmap binary")
     sets = materialise(prefixes.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "bitmap"))))
-    postings = sets.select("class", F.explode("tokens").alias("token"))
+    # most shingles have one holder: the others are found by two numbers each, and only their postings go on
+    spans = sets.select("class", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    several = docs.sparkSession.sparkContext.broadcast(key_filter(materialise(spans.where("lo < hi").select("token"))))
+    postings = materialise(sets.select("class", "tokens").mapInArrow(_thinned(several), "class long, token long"))
+    several.destroy()
     pivot = _pivot(F.col("class"), F.col("token"), 0)
     shared = materialise(postings.groupBy("token").agg(
         F.count("*").alias("holders"), F.min(pivot).alias("pivot"), F.min("class").alias("x"), F.max("class").alias("y")).where("holders > 1"))
@@ -285,8 +305,11 @@ def jaccard_components(
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        sized = materialise(pairs).join(maps.toDF("a", "n_a", "bitmap_a"), "a").join(maps.toDF("b", "n_b", "bitmap_b"), "b")
-        sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        sizes = maps.select("class", "n")
+        sized = materialise(pairs).join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+        sized = materialise(sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+        bitmaps = maps.select("class", "bitmap")
+        sized = sized.join(bitmaps.toDF("a", "bitmap_a"), "a").join(bitmaps.toDF("b", "bitmap_b"), "b")
         return _verified(docs, materialise(sized.mapInArrow(_may_link(percent), "a long, b long")), width, percent)
 
     def placed(roots: DataFrame) -> DataFrame:
@@ -311,17 +334,21 @@ def jaccard_components(
     apart = materialise(placed(roots).select("lo", "hi", "class", "comp").distinct())
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     blocks = apart.groupBy("lo", "hi").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        apart.join(blocks, ["lo", "hi"]).join(maps, "class")
+    placed_in = (
+        apart.join(blocks, ["lo", "hi"]).join(maps.select("class", "n"), "class")
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("small", F.explode(F.array(F.lit(False), F.lit(True))))
         .select(
             F.xxhash64("lo", "hi", band + F.col("small").cast("int"), F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-            "class", "n", "comp", "small", "bitmap",
+            "class", "n", "comp", "small",
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     )
+    # bitmaps travel only to tiles in which two components meet, one of them in the band itself
+    placed_in = materialise(placed_in)
+    meet = placed_in.groupBy("tile").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.bool_and("small").alias("none"))
+    dealt = placed_in.join(materialise(meet.where("first < last and not none").select("tile")), "tile", "left_semi").join(maps.select("class", "bitmap"), "class")
     late = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(percent), "a long, b long")
     late = materialise(late.distinct())
     if not late.isEmpty():
