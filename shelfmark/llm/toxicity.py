@@ -124,17 +124,20 @@ def _window_bytes(texts: list[str]) -> list[bytes]:
 
 
 def different(texts: list[str], most_seen: float = 0.2) -> list[str]:
-    """The texts without those that mostly repeat earlier ones: copies are no further evidence."""
-    seen: set[int] = set()
+    """The texts without those that mostly repeat earlier ones: copies are no further evidence.
+
+    Shingles seen are marks in a table of fixed size, as this runs on the driver.
+    """
+    seen = np.zeros(1 << 24, bool)
     out = []
     for row, _, words in W.slices_of_words(pa.array(texts, pa.string())):
         hashes = words.hashes()
         windows = W.windows_hashed(hashes, W.SHINGLE)
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-            own = set(W.shingle_set(hashes, windows, a, b).tolist())
-            if len(own & seen) <= most_seen * len(own):
+            own = (W.shingle_set(hashes, windows, a, b) >> np.uint64(40)).astype(np.int64)
+            if seen[own].sum() <= most_seen * len(own):
                 out.append(texts[row + i])
-            seen |= own
+            seen[own] = True
     return out
 
 
@@ -144,10 +147,13 @@ def _words_of(text: str) -> list[bytes]:
 
 def toxic_windows(ordinary: list[str], toxic: list[str]) -> list[bytes]:
     """Windows of the toxic texts, without the words that are about as common in ordinary ones; counted once a text."""
-    usual, here = Counter(), Counter()
-    for counts, texts in ((usual, ordinary), (here, toxic)):
-        for t in texts:
-            counts.update(set(_words_of(t)))
+    here: Counter[bytes] = Counter()
+    for t in toxic:
+        here.update(set(_words_of(t)))
+    here = Counter({w: n for w, n in here.items() if n >= LEAST_TEXTS})
+    usual: Counter[bytes] = Counter()
+    for t in ordinary:
+        usual.update(here.keys() & set(_words_of(t)))
 
     def tells(word: bytes) -> bool:
         n, expected = here[word], (usual[word] + 0.5) * len(toxic) / len(ordinary)
