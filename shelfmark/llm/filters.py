@@ -8,12 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfmark.llm import words as W
 
 #: Logarithm of the bits of a filter.
 FILTER_BITS = 26
-_PIECE = 1 << 16  # bytes of a filter in one merged piece
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -21,27 +21,21 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for each hashed key, packed; tasks and driver hold a table of fixed size."""
+    """A bit for each hashed key, packed; tasks hand on the words of the table that have a bit, the driver holds the table."""
 
     def mark(batches):
         table = np.zeros(1 << bits, bool)
         for batch in batches:
             table[_places(batch.column(0).to_numpy(), bits)] = True
-        packed = np.packbits(table, bitorder="little")
-        for k in range(0, len(packed), _PIECE):
-            if packed[k : k + _PIECE].any():
-                yield pa.record_batch({"piece": pa.array([k // _PIECE]), "data": pa.array([packed[k : k + _PIECE].tobytes()], pa.binary())})
-
-    def merge(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(d, np.uint8) for d in group.column("data").to_pylist()]
-        return pa.table({"piece": group.column("piece")[:1], "data": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
-    schema = "piece long, data binary"
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in keys.coalesce(4).mapInArrow(mark, schema).groupBy("piece").applyInArrow(merge, schema).collect():
-        part = np.frombuffer(bytes(r["data"]), np.uint8)
-        out[r["piece"] * _PIECE : r["piece"] * _PIECE + len(part)] = part
-    return out
+        packed = np.packbits(table, bitorder="little").view(np.int64)
+        word = np.flatnonzero(packed)
+        for k in range(0, len(word), 100_000):
+            yield pa.record_batch({"word": pa.array(word[k : k + 100_000]), "marks": pa.array(packed[word[k : k + 100_000]])})
+
+    found = keys.coalesce(4).mapInArrow(mark, "word long, marks long").groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[found["word"].to_numpy()] = found["marks"].to_numpy()
+    return out.view(np.uint8)
 
 
 def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
