@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.models import embeddings, stages
 from shelfmark.models.estimators import ESTIMATORS, make_estimator
 from shelfmark.session import scratch_path
-from workload.learning import _fit, _scores, _topic_shares, _topic_terms
+from workload.learning import _fit, _scores, _split, _topic_shares, _topic_terms
 from workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +18,16 @@ def test_logistic_beats_the_majority_class(spark):
     assert rows["test"].above_majority and rows["train"].above_majority
 
 
+def test_every_document_of_a_large_language_is_split(spark, tmp_path):
+    n = 130_000
+    rows = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") < 20, "de").otherwise("en").alias("lang"), F.lit("web").alias("source"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    train, test = _split(spark, str(tmp_path))
+    sizes = [{r.cat1: r["count"] for r in part.groupBy("cat1").count().collect()} for part in (train, test)]
+    assert sizes == [{"de": 14, "en": 97_484}, {"de": 6, "en": 32_496}]
+
+
 def test_scores_carry_class_names(spark):
     got = _scores(spark, SF)
     assert got.where("prediction is null").isEmpty()

@@ -61,6 +61,14 @@ def test_ten_rows_split_into_seven_and_three(spark):
     assert (train.count(), test.count()) == (7, 3)
 
 
+def test_split_without_a_cap_takes_whole_groups(spark, skewed):
+    train, test = S.stratified_split(skewed, ["cat1"], None, 0.75, "key")
+    rows = ranked(skewed, ["cat1"])
+    cut = F.round(F.col("size") * 0.75)
+    assert same(train, rows.where(F.col("rn") < cut).drop("rn", "size"))
+    assert same(test, rows.where(F.col("rn") >= cut).drop("rn", "size"))
+
+
 def test_listed_sizes_cap_and_select(spark, skewed):
     sizes = spark.createDataFrame([("hot", 5), ("c1", 10**6)], "cat1 string, count bigint")
     got = S.stratified_cap(skewed, ["cat1"], 50, "key", sizes).groupBy("cat1").count().collect()
