@@ -4,10 +4,10 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from shelfmark.models import embeddings, stages
+from shelfmark.models import embeddings, stages, training
 from shelfmark.models.estimators import ESTIMATORS, make_estimator
 from shelfmark.session import scratch_path
-from workload.learning import _fit, _scores, _split, _topic_shares, _topic_terms
+from workload.learning import CLASSIFIERS, _features, _fit, _scores, _split, _topic_shares, _topic_terms
 from workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,23 @@ def test_topics(spark):
     total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x)
     # a document without any word of the vocabulary has no topics at all
     assert shares.where((F.abs(total - 1) > 0.03) & (total != 0)).isEmpty()
+
+
+def test_embeddings_get_a_task_for_so_many_words(spark, monkeypatch):
+    rows = spark.range(400).select(F.array(*[F.lit(w) for w in "abcde"]).alias("textTokens"))
+    asked, fit = [], embeddings.Word2Vec._fit
+    monkeypatch.setattr(embeddings.Word2Vec, "_fit", lambda self, df: asked.append(self.getNumPartitions()) or fit(self, df))
+    spec = embeddings.word2vec("text", vectorSize=2, minCount=1, numPartitions=4)
+    for task_words in (100, 10_000):
+        monkeypatch.setattr(embeddings, "TASK_WORDS", task_words)
+        embeddings.fit_word2vec(spec, rows)
+    assert asked == [20, 4] and spec.getNumPartitions() == 4
+
+
+def test_folds_share_their_tokens(spark, monkeypatch):
+    train, test = _split(spark, SF)
+    calls, transform = [], stages.ProductTokenizer._transform
+    monkeypatch.setattr(stages.ProductTokenizer, "_transform", lambda self, df: calls.append(1) or transform(self, df))
+    found = training.cross_validate(train.unionByName(test), _features(), make_estimator("tree", **CLASSIFIERS["tree"]), 2, "key")
+    total = train.count() + test.count()
+    assert sum(r["rows"] for r in found.collect()) == 2 * total and len(calls) == 1
