@@ -83,3 +83,17 @@ def test_folds_share_their_tokens(spark, monkeypatch):
     found = training.cross_validate(train.unionByName(test), _features(), make_estimator("tree", **CLASSIFIERS["tree"]), 2, "key")
     total = train.count() + test.count()
     assert sum(r["rows"] for r in found.collect()) == 2 * total and len(calls) == 1
+
+
+def test_vectoriser_reads_stored_tokens(spark, monkeypatch):
+    read, fit = [], stages.CountVectorizer._fit
+    monkeypatch.setattr(stages.CountVectorizer, "_fit", lambda self, df: read.extend(df.inputFiles()) or fit(self, df))
+    assert not QUERIES["count_vector_vocabulary"](spark, SF).isEmpty()
+    assert read and not any("documents.parquet" in f for f in read)
+
+
+def test_topics_are_checked_in_one_pass(spark, capsys):
+    checked = QUERIES["topics_checked"](spark, SF)
+    checked.explain()
+    assert "documents.parquet" not in capsys.readouterr().out
+    assert checked.first().shares_sum
