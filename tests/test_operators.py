@@ -13,6 +13,7 @@ from shelfmark.operators import sampling as S
 from shelfmark.operators import vocabulary as V
 from shelfmark.operators.mapping import map_categories
 from shelfmark.operators.sizing import materialise
+from shelfmark.sources import tables
 
 
 def same(a, b):
@@ -190,3 +191,12 @@ def test_materialised_table_keeps_rows_and_schema(spark):
     again = materialise(df)
     # files make every column nullable; names, types and rows stay
     assert again.dtypes == df.dtypes and same(again, df)
+
+
+def test_spread_grows_with_the_splits_of_the_scan(spark, tmp_path):
+    spark.range(400).repartition(8).write.parquet(f"{tmp_path}/rows")
+    scan = spark.read.parquet(f"{tmp_path}/rows")
+    splits = scan.rdd.getNumPartitions()
+    assert tables.spread(scan, 2).rdd.getNumPartitions() == tables.SPLIT_TASKS * splits
+    assert tables.spread(scan, 100).rdd.getNumPartitions() == 100
+    assert tables.spread(scan).rdd.getNumPartitions() == splits
