@@ -51,3 +51,10 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_language_queries_deal_their_texts_out(spark):
+    from workload.bindings import TEXT_TASKS
+    from workload.models import _marked
+
+    assert _marked(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= TEXT_TASKS
