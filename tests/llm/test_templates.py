@@ -3,7 +3,7 @@
 import duckdb
 
 from shelfmark.llm.queries import QUERIES, SQL
-from shelfmark.llm.templates import drop_recurring_lines
+from shelfmark.llm.templates import _lines, drop_recurring_lines
 
 SF = "/root/testdata/sf0.01"
 
@@ -59,3 +59,12 @@ def test_ties_long_texts_and_lines(spark):
     out = {r["doc_id"]: r["text"] for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[100] == long and out[101] == "w " * 200_000 and all("\n" not in out[200 + i] for i in range(12))
     assert all("\n" in out[i] for i in range(18))  # nine texts each, two tokens as common as each other: too few for a branch, no majority beyond
+
+
+def test_each_line_is_split_once(spark):
+    df = spark.createDataFrame([(1, " a  b\n\n \t\n1 c ")], "doc_id long, text string")
+    lines = _lines(df, "text", 4)
+    assert sorted((r["pos"], r["tokens"]) for r in lines.collect()) == [(0, ["a", "b"]), (3, ["1", "c"])]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(trim(") == 1
+    assert plan.index("xxhash64(text") > plan.index("Generate posexplode")  # below: once a text, not once a line
