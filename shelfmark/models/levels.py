@@ -68,14 +68,40 @@ def fit_levels(rows: DataFrame, tokens: str, path: str = "category", smoothing:
     return LevelModels(materialise(nodes), materialise(weights))
 
 
+def _bags(rows: DataFrame, id_col: str, tokens: str) -> DataFrame:
+    """(id, bag of (token, n)), one row per id: texts go to their ids before they are counted, not a row for each token."""
+    texts = rows.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens")).where(F.col("id").isNotNull()).repartition("id")
+    counted = texts.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    return counted.groupBy("id").agg(F.collect_list(F.struct("token", "n")).alias("bag"))
+
+
+def _evidence(asking: DataFrame, bags: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, number, evidence) for the children of the categories of (id, parent): what the tokens of a row add up to.
+
+    A token travels once for all categories of its row, and the children are numbers from there on:
+    what is shuffled is a row for each token of a text and its parts of the sums, without a name.
+    """
+    of_ids = asking.groupBy("id").agg(F.collect_list("parent").alias("parents"))
+    sent = bags.join(of_ids, "id").select("id", "parents", F.inline("bag"))
+    known = weights.join(asking.select("parent").distinct(), "parent", "left_semi").repartition("token").select("parent", "token", F.inline("children"))
+    known = known.join(nodes.select("parent", "child", "number"), ["parent", "child"])
+    known = known.groupBy("token", "parent").agg(F.collect_list(F.struct("number", "weight")).alias("children"))
+    known = known.groupBy("token").agg(F.collect_list(F.struct("parent", "children")).alias("known"))
+    of_parent = lambda p: F.transform(F.filter("known", lambda k: k["parent"] == p), lambda k: k["children"])
+    met = sent.join(known, "token").select("id", "n", F.inline(F.flatten(F.flatten(F.transform("parents", of_parent)))))
+    return met.groupBy("id", "number").agg(F.sum(F.col("n") * F.col("weight")).alias("evidence"))
+
+
 def decode_paths(rows: DataFrame, models: LevelModels, id_col: str, tokens: str, beam: int = 4, depth: int = 7) -> DataFrame:
     """(id, prediction, log_probability): the likeliest path of each id.
 
     After each level the ``beam`` best ways of a row go on, equals by name; a beam as wide as
     a level has categories makes the search exhaustive. Ids are distinct.
     """
-    counted = materialise(
-        rows.select(F.col(id_col).alias("id"), F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n")))
+    bags = materialise(_bags(rows, id_col, tokens))
+    siblings = F.count("*").over(Window.partitionBy("parent"))
+    nodes = materialise(models.nodes.withColumns({"number": F.monotonically_increasing_id(), "siblings": siblings}))
+    open_ones = nodes.where("siblings > 1").select("parent").distinct()  # the only child of a category needs no evidence
     start = rows.select(
         F.col(id_col).alias("id"), F.coalesce(F.size(tokens), F.lit(0)).alias("length"), F.lit(ROOT).alias("node"),
         F.lit(0.0).alias("score"), F.lit(False).alias("ended"))
@@ -84,9 +110,9 @@ def decode_paths(rows: DataFrame, models: LevelModels, id_col: str, tokens: str,
     best = Window.partitionBy("id").orderBy(F.desc("score"), "node", "ended")
     for _ in range(depth + 1):
         open_ways = way.where("not ended").select("id", "length", F.col("node").alias("parent"), "score")
-        met = open_ways.select("id", "parent").join(counted, "id").join(models.weights, ["parent", "token"])
-        evidence = met.select("id", "parent", "n", F.inline("children")).groupBy("id", "parent", "child").agg(F.sum(F.col("n") * F.col("weight")).alias("evidence"))
-        asked = open_ways.join(models.nodes, "parent").join(evidence, ["id", "parent", "child"], "left")
+        asking = open_ways.select("id", "parent").join(open_ones, "parent", "left_semi")
+        evidence = _evidence(asking, bags, nodes, models.weights)
+        asked = open_ways.join(nodes, "parent").join(evidence, ["id", "number"], "left")
         local = F.col("prior") + F.col("length") * F.col("unseen") + F.coalesce("evidence", F.lit(0.0))
         scored = asked.withColumn("local", local).withColumn("top", F.max("local").over(within))
         share = F.col("local") - F.col("top") - F.log(F.sum(F.exp(F.col("local") - F.col("top"))).over(within))

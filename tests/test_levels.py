@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.models import levels
 from shelfmark.models.levels import decode_paths, fit_levels
 from shelfmark.operators import categories as C
 from shelfmark.operators import languages as L
@@ -124,3 +125,17 @@ def test_nested_sets_equal_the_path_expansions(spark, tree):
     assert same(N.ancestor_ids(nested), C.taxonomy_ancestors(tree))
     assert N.nested_sets(tree.limit(0)).count() == 0
 
+
+def test_a_token_is_sent_once_for_all_categories_of_its_row(spark):
+    asking = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "b")], "id int, parent string")
+    rows = spark.createDataFrame([(1, ["u", "v", "u"]), (2, ["v", "w"]), (None, ["u"]), (3, ["u"])], "id int, tokens array<string>")
+    nodes = spark.createDataFrame([("a", "a > c", 0), ("a", "a", 1), ("b", "b > d", 2), ("e", "e > f", 3)], "parent string, child string, number long")
+    weights = spark.createDataFrame(
+        [("a", "u", [("a", 1.0), ("a > c", 2.0)]), ("b", "u", [("b > d", 3.0)]), ("b", "v", [("b > d", 4.0)]), ("e", "v", [("e > f", 9.0)])],
+        "parent string, token string, children array<struct<child string, weight double>>")
+    bags = levels._bags(rows, "id", "tokens")
+    assert sorted((r["id"], sorted((b["token"], b["n"]) for b in r["bag"])) for r in bags.collect()) == [
+        (1, [("u", 2), ("v", 1)]), (2, [("v", 1), ("w", 1)]), (3, [("u", 1)])]
+    sums = levels._evidence(asking, bags, nodes, weights)
+    # a category that a row has twice counts twice, as a join of rows would have it
+    assert sorted(map(tuple, sums.collect())) == [(1, 0, 4.0), (1, 1, 2.0), (1, 2, 2 * (6.0 + 4.0)), (2, 2, 4.0)]
