@@ -8,7 +8,23 @@ import duckdb
 import numpy as np
 import pytest
 
-from shelfmark.llm.decontaminate import BUCKETS, EXTRA, RANK, Item, _orthonormal, _step, _weighed, benchmark_matches, decontaminated
+from shelfmark.llm import words as W
+from shelfmark.llm.decontaminate import (
+    BUCKETS,
+    EXTRA,
+    HALF,
+    LEADING,
+    RANK,
+    Item,
+    _orthonormal,
+    _product,
+    _step,
+    _weighed,
+    benchmark_matches,
+    decontaminated,
+    distinct_texts,
+    latent_space,
+)
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,3 +127,53 @@ def test_a_task_holds_one_weighed_copy_of_the_basis():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2.5 * 4 * BUCKETS * (RANK + EXTRA)  # the random start and its weighed copy
+
+
+def test_the_space_is_fitted_on_all_texts(spark):
+    """Its first directions are those of all texts in plain numpy, whichever texts a bounded number of them would be."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocab[40 * (i % 10) : 40 * (i % 10) + 40], k=rng.choice((9, 24, 60)))) for i in range(2_600)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], None, "", " "]], "text string").repartition(5)
+    assert distinct_texts(docs).count() == len(texts) and distinct_texts(docs, sample=7).count() == 7
+    idf = np.zeros(BUCKETS, np.float32)
+    hashed = [W.split_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).hashes() & np.uint64(BUCKETS - 1) for t in texts]
+    idf[np.unique(np.concatenate(hashed)).astype(int)] = 1.0
+    words = np.flatnonzero(idf)
+    rows = []
+    for h in hashed:
+        halves = [np.isin(words, h[k : k + HALF]).astype(float) for k in range(0, len(h), HALF)]
+        rows += [halves[k] + halves[k + 1] for k in range(len(halves) - 1)] if len(halves) > 1 else halves
+    rows = np.array([r / np.sqrt((r**2).sum() if r.max() == 1 else (r > 0).sum() + (r > 1).sum()) for r in rows])
+    values, vectors = np.linalg.eigh(rows.T @ rows)
+    space = latent_space(docs, idf)
+    assert not space[idf == 0].any()
+    first = space[words][:, 0]  # the one after those left out
+    own = vectors[:, ::-1][:, LEADING]
+    assert values[::-1][LEADING] > 1.5 * values[::-1][LEADING + 2]
+    share = vectors[:, ::-1][:, LEADING - 8 : LEADING + 2].T @ (first / np.linalg.norm(first))
+    assert (share**2).sum() > 0.98 and abs(own @ first) > 0
+
+
+def test_words_of_every_text_have_a_place_in_the_space(spark):
+    """Also those of one text only, however many texts there are."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(400)]
+    texts = [" ".join([f"own{i}", *rng.choices(vocab, k=30)]) for i in range(1_500)]
+    hashed = np.concatenate([W.split_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).hashes() & np.uint64(BUCKETS - 1) for t in texts]).astype(int)
+    space = latent_space(spark.createDataFrame([(t,) for t in texts], "text string"), np.ones(BUCKETS, np.float32))
+    assert space[np.unique(hashed)].any(1).all()
+
+
+def test_products_of_many_tasks_add_up(spark, monkeypatch):
+    """However texts are dealt and products merged, the space is the same but for what half precision rounds."""
+    rng = random.Random(10)
+    vocab = [f"v{i}" for i in range(300)]
+    docs = spark.createDataFrame([(" ".join(rng.choices(vocab, k=30)),) for _ in range(200)], "text string")
+    idf = np.ones(BUCKETS, np.float32)
+    texts = distinct_texts(docs)
+    whole, parts = (_product(texts.repartition(n), None, idf) for n in (1, 7))
+    monkeypatch.setattr("shelfmark.llm.decontaminate.MERGED", 2)
+    again = _product(texts.repartition(7), None, idf)
+    for other in (parts, again):
+        assert np.abs(whole - other).max() < 0.01 * np.abs(whole).max()
