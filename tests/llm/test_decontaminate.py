@@ -16,6 +16,7 @@ from shelfmark.llm.decontaminate import (
     LEADING,
     RANK,
     Item,
+    _added,
     _orthonormal,
     _product,
     _step,
@@ -177,3 +178,15 @@ def test_products_of_many_tasks_add_up(spark, monkeypatch):
     again = _product(texts.repartition(7), None, idf)
     for other in (parts, again):
         assert np.abs(whole - other).max() < 0.01 * np.abs(whole).max()
+
+
+def test_rows_are_added_to_their_words():
+    rng = np.random.default_rng(5)
+    for n, vocab in ((0, 10), (1, 10), (300, 40), (300, BUCKETS)):
+        words = np.sort(rng.integers(0, vocab, (n, HALF)), 1)
+        words[rng.random((n, HALF)) < 0.2] = BUCKETS
+        rows = rng.integers(-9, 9, (n, 8)).astype(np.float32)
+        out, plain = np.ones((BUCKETS, 8), np.float32), np.ones((BUCKETS + 1, 8), np.float32)
+        _added(out, words, rows)
+        np.add.at(plain, words.ravel(), np.repeat(rows, HALF, 0))
+        assert np.array_equal(out, plain[:-1])
