@@ -21,6 +21,8 @@ from shelfmark.functions.paths import path_prefixes
 from shelfmark.operators.sizing import materialise
 
 ROOT = ""
+#: Weights that a task carries, of the tokens that most texts have, about 50 bytes each; all others are joined.
+CARRIED = 1 << 20
 
 
 @dataclass
@@ -92,16 +94,53 @@ def _evidence(asking: DataFrame, bags: DataFrame, nodes: DataFrame, weights: Dat
     return met.groupBy("id", "number").agg(F.sum(F.col("n") * F.col("weight")).alias("evidence"))
 
 
+def _carried(weights: DataFrame) -> DataFrame:
+    """(token, code): the tokens with the largest weights, as many as have ``CARRIED`` weights in all."""
+    largest = F.array_max(F.transform("children", lambda c: c["weight"]))
+    sizes = materialise(weights.groupBy("token").agg(F.max(F.floor(64 * largest)).alias("level"), F.sum(F.size("children")).alias("entries")))
+    upto = F.sum("entries").over(Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+    levels = sizes.groupBy("level").agg(F.sum("entries").alias("entries")).withColumn("upto", upto)  # weights are logarithms: some hundred rows
+    least = levels.where(F.col("upto") <= CARRIED).agg(F.min("level")).first()[0]
+    picked = sizes.where(F.col("level") >= F.lit(least)).select("token").coalesce(1)
+    return materialise(picked.withColumn("code", F.monotonically_increasing_id().cast("int")))
+
+
+def _coded(bags: DataFrame, carried: DataFrame) -> DataFrame:
+    """(id, codes, counts, bag): the carried tokens of each bag as numbers, and the others."""
+    coded = bags.select("id", F.inline("bag")).join(F.broadcast(carried), "token", "left")
+    own = F.when(F.col("code").isNotNull(), F.struct("code", F.col("n").cast("int").alias("n")))
+    split = coded.groupBy("id").agg(
+        F.collect_list(own).alias("own"), F.collect_list(F.when(F.col("code").isNull(), F.struct("token", "n"))).alias("bag"))
+    return split.select("id", F.col("own.code").alias("codes"), F.col("own.n").alias("counts"), "bag")
+
+
+def _carried_evidence(asking: DataFrame, coded: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, number, evidence) of the carried tokens, which meet (family, code, children) and are summed in the task that holds the row."""
+    of_ids = asking.groupBy("id").agg(F.collect_list("family").alias("families"))
+    known = F.broadcast(weights.join(asking.select("family").distinct(), "family", "left_semi"))
+    sent = coded.select("id", "codes", "counts").join(of_ids, "id")
+    sent = sent.select("id", "families", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("counts").alias("n"))))
+    met = sent.select("id", F.explode("families").alias("family"), "code", "n").join(known, ["family", "code"]).select("id", "n", F.inline("children"))
+    return met.groupBy("id", "number").agg(F.sum(F.col("n") * F.col("weight")).alias("evidence"))
+
+
 def decode_paths(rows: DataFrame, models: LevelModels, id_col: str, tokens: str, beam: int = 4, depth: int = 7) -> DataFrame:
     """(id, prediction, log_probability): the likeliest path of each id.
 
+    Tokens that most texts have meet their weights in the tasks that hold the rows, the others are joined.
     After each level the ``beam`` best ways of a row go on, equals by name; a beam as wide as
     a level has categories makes the search exhaustive. Ids are distinct.
     """
-    bags = materialise(_bags(rows, id_col, tokens))
-    siblings = F.count("*").over(Window.partitionBy("parent"))
-    nodes = materialise(models.nodes.withColumns({"number": F.monotonically_increasing_id(), "siblings": siblings}))
-    open_ones = nodes.where("siblings > 1").select("parent").distinct()  # the only child of a category needs no evidence
+    of_parent = Window.partitionBy("parent")
+    nodes = models.nodes.withColumns({"number": F.monotonically_increasing_id(), "siblings": F.count("*").over(of_parent)})
+    nodes = materialise(nodes)
+    nodes = materialise(nodes.withColumn("family", F.min("number").over(of_parent)))
+    carried = _carried(models.weights)
+    bags = materialise(_coded(_bags(rows, id_col, tokens), carried))
+    of_child = models.weights.join(F.broadcast(carried), "token").select("parent", "code", F.inline("children")).join(nodes, ["parent", "child"])
+    known = materialise(of_child.groupBy("family", "code").agg(F.collect_list(F.struct("number", "weight")).alias("children")))
+    others = materialise(models.weights.join(F.broadcast(carried), "token", "left_anti"))
+    open_ones = nodes.where("siblings > 1").select("parent", "family").distinct()  # the only child of a category needs no evidence
     start = rows.select(
         F.col(id_col).alias("id"), F.coalesce(F.size(tokens), F.lit(0)).alias("length"), F.lit(ROOT).alias("node"),
         F.lit(0.0).alias("score"), F.lit(False).alias("ended"))
@@ -110,9 +149,13 @@ def decode_paths(rows: DataFrame, models: LevelModels, id_col: str, tokens: str,
     best = Window.partitionBy("id").orderBy(F.desc("score"), "node", "ended")
     for _ in range(depth + 1):
         open_ways = way.where("not ended").select("id", "length", F.col("node").alias("parent"), "score")
-        asking = open_ways.select("id", "parent").join(open_ones, "parent", "left_semi")
-        evidence = _evidence(asking, bags, nodes, models.weights)
-        asked = open_ways.join(nodes, "parent").join(evidence, ["id", "number"], "left")
+        asking = open_ways.select("id", "parent").join(open_ones, "parent")
+        asked = open_ways.join(nodes, "parent")
+        if asking.isEmpty():  # no bag is read where nobody has a choice
+            asked = asked.withColumn("evidence", F.lit(0.0))
+        else:
+            evidence = _carried_evidence(asking, bags, known).unionByName(_evidence(asking, bags, nodes, others))
+            asked = asked.join(evidence.groupBy("id", "number").agg(F.sum("evidence").alias("evidence")), ["id", "number"], "left")
         local = F.col("prior") + F.col("length") * F.col("unseen") + F.coalesce("evidence", F.lit(0.0))
         scored = asked.withColumn("local", local).withColumn("top", F.max("local").over(within))
         share = F.col("local") - F.col("top") - F.log(F.sum(F.exp(F.col("local") - F.col("top"))).over(within))

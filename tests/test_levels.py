@@ -139,3 +139,26 @@ def test_a_token_is_sent_once_for_all_categories_of_its_row(spark):
     sums = levels._evidence(asking, bags, nodes, weights)
     # a category that a row has twice counts twice, as a join of rows would have it
     assert sorted(map(tuple, sums.collect())) == [(1, 0, 4.0), (1, 1, 2.0), (1, 2, 2 * (6.0 + 4.0)), (2, 2, 4.0)]
+
+
+def test_carried_tokens_do_not_leave_their_row(spark, monkeypatch):
+    """However many weights tasks carry, paths and scores are the same; a token that is carried is in no joined bag."""
+    rng = random.Random(8)
+    paths = ["a > b", "a > c", "d > e", "d > f", "g"]
+    rows = [(i, p, [rng.choice("stuvwx") + p[-1 if rng.random() < 0.5 else 0] for _ in range(rng.randint(1, 12))]) for i, p in enumerate(rng.choices(paths, k=120))]
+    df = spark.createDataFrame([*rows, (500, None, None), (501, None, []), (502, None, ["new"])], "id int, category string, tokens array<string>")
+    models = fit_levels(df, "tokens")
+    found = []
+    for most in (0, 25, 1 << 20):
+        monkeypatch.setattr(levels, "CARRIED", most)
+        carried = levels._carried(models.weights)
+        tokens = {r["token"] for r in carried.collect()}
+        entries = sum(len(r["children"]) for r in models.weights.collect() if r["token"] in tokens)
+        assert entries <= most and (len(tokens) > 0) == (most > 0)
+        bags = {r["id"]: r for r in levels._coded(levels._bags(df, "id", "tokens"), carried).collect()}
+        for i, _, own in rows:
+            left = {b["token"]: b["n"] for b in bags[i]["bag"]}
+            assert left == {t: own.count(t) for t in own if t not in tokens}
+            assert sum(bags[i]["counts"]) + sum(left.values()) == len(own)
+        found.append([(r[0], r[1], round(r[2], 9)) for r in decode_paths(df, models, "id", "tokens", beam=2).orderBy("id").collect()])
+    assert len(found[0]) == 123 and found[0] == found[1] == found[2]
